@@ -46,3 +46,21 @@ def near_duplicates(rows, size, percent):
     links = [(a, b) for (a, b), n in both.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
     root = roots(sets, links)
     return {i: (len(sets[i]), root[i], root[i] == i) for i in sets}
+
+
+def remove_repeats(rows, length):
+    first = {}
+    words = {i: [] for i, _ in rows}
+    for i, t in rows:
+        words[i] = w = WORD.findall(t or "")
+        for k in range(len(w) - length + 1):
+            key = tuple(w[k : k + length])
+            first[key] = min(first.get(key, i), i)
+    out = {}
+    for i, w in words.items():
+        gone = set()
+        for k in range(len(w) - length + 1):
+            if first[tuple(w[k : k + length])] < i:
+                gone.update(range(k, k + length))
+        out[i] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    return out

@@ -16,5 +16,12 @@ def op3_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op3_near_text,)}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    cut = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op3_near_text, op10_repeats)}
 ORACLE_SQL: dict[str, str] = {}
