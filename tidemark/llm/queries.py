@@ -10,6 +10,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import held_out, predict_language
+
+    docs = _table(spark, sf_dir, "documents")
+    labelled = docs.where(~held_out()).select("doc_id", "text", "lang")
+    found = predict_language(docs.select("doc_id", "text"), labelled)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_text import near_duplicates
 
@@ -23,5 +32,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_near_text, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_near_text, op10_repeats)}
 ORACLE_SQL: dict[str, str] = {}
