@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folder of the public tokenizer files; read by the driver only.
+TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,6 +31,15 @@ def op3_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece import decode, encode
+
+    pieces = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    back = decode(pieces, f"{TOKENIZERS}/piece_bpe_32k.model")
+    digest = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
 
@@ -32,5 +47,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_near_text, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_near_text, op9_pieces, op10_repeats)}
 ORACLE_SQL: dict[str, str] = {}
