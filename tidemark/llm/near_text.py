@@ -138,8 +138,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, k])
         key = key.view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key.ravel()), pa.array(np.repeat(batch.column("id").to_numpy(), count)), pa.array(np.repeat(batch.column("n").to_numpy(), count))],
-            ["band", "id", "n"],
+            [pa.array(key.ravel()), *(pa.array(np.repeat(batch.column(c).to_numpy(), count)) for c in ("id", "n")), pa.array(np.tile(np.arange(count, dtype=np.int32), batch.num_rows))],
+            ["band", "id", "n", "number"],
         )
 
 
@@ -154,50 +154,77 @@ def _likely(threshold: float):
     return run
 
 
-def _within(threshold: float):
-    """Pairs of one bucket (or of two of its blocks) from different components that may reach the threshold."""
+def _within(size: int, percent: int):
+    """Links between members of one bucket (or of two of its blocks) that are not yet in one component."""
+    threshold = percent / 100
+    # Equal registers that a pair at the threshold has but for six standard deviations.
+    least = REGISTERS * threshold - 6 * math.sqrt(REGISTERS * threshold * (1 - threshold))
+
+    def bucket(rows) -> list[tuple[int, int]]:
+        ids, roots, n, block, number, regs, texts = rows
+        order = np.argsort(n, kind="stable")
+        ids, roots, n, block, regs = ids[order], roots[order], n[order], block[order], regs[order]
+        number = int(number[0])
+        two = bool(block.min() != block.max())
+        sets: dict[int, np.ndarray] = {}
+        up = {r: r for r in roots.tolist()}
+
+        def find(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def items(i):
+            if i not in sets:
+                sets[i] = shingle_set(next(tables([texts[order[i]]], True))[3], size)
+            return sets[i]
+
+        out = []
+        for i in range(ids.size - 1):
+            end = int(np.searchsorted(n, n[i] / threshold * (1 + 1e-9), "right"))
+            j = np.arange(i + 1, end)
+            j = j[(roots[j] != roots[i]) & ((block[j] != block[i]) | (not two))]
+            if not j.size:
+                continue
+            equal = regs[j] == regs[i]
+            # A pair that shares several buckets is looked at in the first of them only.
+            first = equal.reshape(j.size, -1, ROWS).all(axis=2).argmax(axis=1) == number
+            j = j[first & (equal.sum(axis=1) >= least)]
+            if j.size:
+                j = j[similarity(regs[i][None, :], regs[j], float(n[i]), n[j].astype(float), threshold)]
+            for k in j.tolist():
+                a, b = find(int(roots[i])), find(int(roots[k]))
+                if a == b:
+                    continue
+                x, y = items(i), items(k)
+                both = np.intersect1d(x, y, assume_unique=True).size
+                if 100 * both >= percent * (x.size + y.size - both):
+                    up[max(a, b)] = min(a, b)
+                    out.append((int(min(ids[i], ids[k])), int(max(ids[i], ids[k]))))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows):
-            ids, roots, n, block, regs = rows
-            order = np.argsort(n, kind="stable")
-            ids, roots, n, block, regs = ids[order], roots[order], n[order], block[order], regs[order]
-            two = block.min() != block.max()
-            out = []
-            for i in range(ids.size - 1):
-                end = int(np.searchsorted(n, n[i] / threshold * (1 + 1e-9), "right"))
-                j = np.arange(i + 1, end)
-                j = j[(roots[j] != roots[i]) & ((block[j] != block[i]) | (not two))]
-                if j.size:
-                    ok = similarity(regs[i][None, :], regs[j], float(n[i]), n[j].astype(float), threshold)
-                    if ok.any():
-                        out.append(np.stack([np.full(int(ok.sum()), ids[i]), ids[j[ok]]], axis=1))
-            return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-
-        def emit(found):
-            a, b = np.minimum(found[:, 0], found[:, 1]), np.maximum(found[:, 0], found[:, 1])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        def solved(parts):
+            arrays = [np.concatenate(x) for x in list(zip(*parts, strict=True))[:-1]]
+            found = bucket([*arrays, [t for x in parts for t in x[-1]]])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         held, key = [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
             k = np.stack([batch.column(c).to_numpy() for c in ("band", "lo", "hi")], axis=1)
-            rows = [batch.column("id").to_numpy(), batch.column("root").to_numpy(), batch.column("n").to_numpy(), batch.column("block").to_numpy(), _registers(batch.column("sketch"))]
-            edge = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, [k.shape[0]]))
-            found = []
+            rows = [*(batch.column(c).to_numpy() for c in ("id", "root", "n", "block", "number")), _registers(batch.column("sketch")), as_bytes(batch.column("text"))]
+            edge = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, [k.shape[0]])).tolist()
             for a, b in zip(edge[:-1], edge[1:], strict=True):
-                part = [x[a:b] for x in rows]
-                if key is not None and tuple(k[a]) == key:
-                    held.append(part)
-                else:
-                    if held:
-                        found.append(pairs([np.concatenate(x) for x in zip(*held, strict=True)]))
-                    held, key = [part], tuple(k[a])
-            if found and (found := np.concatenate(found)).size:
-                yield emit(found)
-        if held and (found := pairs([np.concatenate(x) for x in zip(*held, strict=True)])).size:
-            yield emit(found)
+                if held and tuple(k[a].tolist()) != key:
+                    yield solved(held)
+                    held = []
+                key = tuple(k[a].tolist())
+                held.append([x[a:b] for x in rows])
+        if held:
+            yield solved(held)
 
     return run
 
@@ -220,12 +247,16 @@ def _verify(size: int, percent: int):
     return run
 
 
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of the given documents; few ids are broadcast, many are joined."""
+    few = ids.count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets reach the similarity."""
     sides = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), "a", "b")
-    ids = sides.select("doc_id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    texts = _texts_of(sides.select("doc_id").distinct(), texts)
     both = sides.join(texts, "doc_id").groupBy("a", "b").agg(
         F.min(F.struct("doc_id", "text")).alias("x"), F.max(F.struct("doc_id", "text")).alias("y"))
     return both.select("a", "b", F.col("x.text").alias("ta"), F.col("y.text").alias("tb")).mapInArrow(
@@ -240,10 +271,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     differ (5e-8 at 0.8) or its likelihood is below e**-18 of the best fit.
 
     Round one tests each document against the smallest member of its buckets
-    only, so a group of copies costs one pair a member.  Round two compares,
-    inside each bucket whose members are not yet one component, the members of
-    different components by their registers.  No bucket is cut off: one with
-    more than 1,024 members is dealt out by pairs of blocks.
+    only, so a group of copies costs one pair a member.  Round two goes through
+    each bucket whose members are not yet one component: pairs from different
+    components are compared by their registers and then by their full sets,
+    and a link found makes the two components one, so a dense group costs
+    about one link a member.  No bucket is cut off: one with more than 1,024
+    members is dealt out by pairs of blocks.
     """
     threshold = percent / 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -254,7 +287,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reps = own.join(sets, (sets.doc_id == own.id)).select("id", own.n_shingles.alias("n"), "sketch").dropDuplicates(["id"])
     reps = staged(reps, "representatives")
 
-    bands = reps.mapInArrow(_bands, "band long, id long, n long")
+    bands = reps.mapInArrow(_bands, "band long, id long, n long, number int")
     shared = bands.groupBy("band").agg(F.min(F.struct("id", "n")).alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("members")).where("low.id < high")
     members = staged(bands.join(shared.select("band", F.col("low.id").alias("low"), F.col("low.n").alias("low_n"), "members"), "band"), "members")
 
@@ -265,16 +298,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links = staged(_confirmed(star, docs, shingle, percent), "confirmed")
     roots = components(links)
 
-    named = members.join(roots, "id", "left").select("band", "id", "n", "members", F.coalesce("root", "id").alias("root"))
+    named = members.join(roots, "id", "left").select("band", "id", "n", "number", "members", F.coalesce("root", "id").alias("root"))
     open_ = named.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("band")
     left = named.join(open_, "band", "left_semi")
     blocks = F.ceil(F.col("members") / BUCKET_BLOCK).cast("int")
     left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left = staged(left, "open")
+    texts = _texts_of(left.select(F.col("id").alias("doc_id")).distinct(), docs)
+    carried = reps.select("id", "sketch").join(texts.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "id")
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "n", "root", "block")
-    left = left.join(reps.select("id", "sketch"), "id").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    cross = staged(left.mapInArrow(_within(threshold), "a long, b long").distinct(), "cross")
-    more = _confirmed(cross, docs, shingle, percent)
+    left = left.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "root", "n", "block", "number")
+    left = left.join(carried, "id").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    more = staged(left.mapInArrow(_within(shingle, percent), "a long, b long").distinct(), "more")
     roots = components(links.union(more))
 
     classes = own.join(roots, "id", "left").select("f1", "f2", F.col("n_shingles"), F.coalesce("root", "id").alias("class_root"))
