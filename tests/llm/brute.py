@@ -64,3 +64,14 @@ def remove_repeats(rows, length):
                 gone.update(range(k, k + length))
         out[i] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
     return out
+
+
+def base_scores(rows, held):
+    """doc_id -> (n_tokens, n_known, train_tokens, base_score) of the unigram base."""
+    from collections import Counter
+    from math import log10
+
+    tokens = {i: [*WORD.findall(lower(t)), None] for i, t in rows}
+    count = Counter(w for i, own in tokens.items() if i not in held for w in own)
+    total, distinct = sum(count.values()), len(count)
+    return {i: (len(own), sum(w in count for w in own), total, sum(log10((count[w] + 1) / (total + distinct + 1)) for w in own)) for i, own in tokens.items()}

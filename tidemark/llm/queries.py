@@ -31,6 +31,13 @@ def op3_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown import score_documents
+
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    return score_documents(_table(spark, sf_dir, "documents"), held_out)
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece import decode, encode
 
@@ -47,5 +54,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_near_text, op9_pieces, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_near_text, op4_brown, op9_pieces, op10_repeats)}
 ORACLE_SQL: dict[str, str] = {}
