@@ -16,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_vectors import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import held_out, predict_language
 
@@ -54,5 +60,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_near_text, op4_brown, op9_pieces, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language, op3_near_text, op4_brown, op9_pieces, op10_repeats)}
 ORACLE_SQL: dict[str, str] = {}
