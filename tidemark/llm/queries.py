@@ -44,6 +44,12 @@ def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), held_out)
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann_tree import search
+
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece import decode, encode
 
@@ -60,5 +66,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language, op3_near_text, op4_brown, op9_pieces, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language, op3_near_text, op4_brown, op8_ann, op9_pieces, op10_repeats)}
 ORACLE_SQL: dict[str, str] = {}
