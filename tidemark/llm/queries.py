@@ -44,6 +44,53 @@ def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), held_out)
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_windows, read_back
+
+    said = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"select -7L conv_id, 0L turn, 'user' role, '{said}' text union all select -7L, 1L, 'assistant', '{said}'")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    back = read_back(format_windows(turns))
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return back.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), sha("turns").alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
+                       sha("loss").alias("loss_sha256"), F.col("formatted_chars").cast("long").alias("formatted_chars"))
+
+
+OP6_SQL = r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), counted as (
+  select *, len(regexp_extract_all(text, '[0-9A-Za-z_]+|[^0-9A-Za-z_\x00-\x20]')) + 4 as tokens,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) as pos from rows
+), escaped as (
+  select *, pos = 1 and role = 'system' as leads,
+    sum(tokens) over (partition by conv_id order by pos) - tokens as start0,
+    23 + length(replace(role, '~', '~0')) + len(regexp_extract_all(role, '<(/?s>|</?SYS>>)|\[/?INST\]'))
+       + length(replace(text, '~', '~0')) + len(regexp_extract_all(text, '<(/?s>|</?SYS>>)|\[/?INST\]')) as chars from counted
+), sized as (
+  select *, coalesce(max(case when leads then tokens end) over (partition by conv_id), 0) as system_tokens,
+    max(case when leads then chars end) over (partition by conv_id) as system_chars from escaped
+), placed as (
+  select *, case when leads then 0 else start0 - system_tokens end as start,
+    case when leads then 0 else (start0 - system_tokens) // greatest((1024 - 256 - system_tokens) // 2, 128) end as win from sized
+), firsts as (
+  select conv_id, win, min(pos) as first, arg_min(start, pos) as first_start, max(system_chars) as system_chars from placed group by 1, 2
+), repeated as (
+  select f.conv_id, sum(p.chars) as chars from firsts f join placed p on p.conv_id = f.conv_id
+  where f.win > 0 and not p.leads and p.pos between f.first - 2 and f.first - 1 and f.first_start - p.start <= 256 group by 1
+), again as (
+  select conv_id, sum(coalesce(system_chars, 0)) as chars from firsts where win > 0 group by 1
+)
+select p.conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by pos) filter (where role = 'assistant'), '')) as loss_sha256,
+  (sum(p.chars) + coalesce(max(r.chars), 0) + coalesce(max(a.chars), 0))::bigint as formatted_chars
+from placed p left join repeated r on r.conv_id = p.conv_id left join again a on a.conv_id = p.conv_id group by 1
+"""
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann_tree import search
 
@@ -66,5 +113,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language, op3_near_text, op4_brown, op8_ann, op9_pieces, op10_repeats)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language, op3_near_text, op4_brown, op6_chat, op8_ann, op9_pieces, op10_repeats)}
+ORACLE_SQL: dict[str, str] = {"op6_chat": OP6_SQL}
