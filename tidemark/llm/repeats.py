@@ -33,6 +33,8 @@ from .words import as_bytes, mix64, sequence_hashes, tables
 BLOOM_BITS = 1 << 26
 #: Symbols of one FM-index; a shard makes several, each of whole anchors.
 BLOCK_SYMBOLS = 1 << 20
+#: Ids of documents that lose words up to this count are broadcast (8 bytes each); beyond it all texts are joined.
+BROADCAST_IDS = 500_000
 ADDED = ("n_words", "n_removed", "kept_text")
 
 
@@ -214,7 +216,7 @@ def _cut(length: int):
                 stay = np.cumsum(edge)[:-1] == 0
                 gone.append(int(stay.size - np.count_nonzero(stay)))
                 kept.append(b" ".join([words[i] for i in np.flatnonzero(stay).tolist()]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["row", *ADDED])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["row", "text", *ADDED])
 
     return f
 
@@ -234,7 +236,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     anchors = plain.mapInArrow(_anchors(length, run), "anchor long, doc long").groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     shared = staged(anchors.where("low < high").select("anchor"), "anchors")
     bloom = spark.sparkContext.broadcast(_bloom(shared))
-    found = plain.withColumn("tx", F.xxhash64("text")).mapInArrow(
+    found = plain.withColumn("tx", _text_key()).mapInArrow(
         _shared_segments(length, run, bloom), "anchor long, key long, doc long, tx long, start long, count long, seg binary")
     found = staged(found, "segments")
     carriers = found.where("seg is not null").select("anchor", "key", "doc", "seg")
@@ -243,8 +245,23 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     # -1: every window of the segment; the smallest document with a segment is judged by the mask alone.
     hits = hits.withColumn("mask", F.when(F.col("doc") > F.col("low"), F.lit(-1)).otherwise(F.col("mask"))).where("mask <> 0")
     hits = hits.groupBy(F.col("doc").alias("__doc"), F.col("tx").alias("__tx")).agg(F.collect_list(F.struct("start", "count", "mask")).alias("found"))
-    own = [c for c in docs.columns if c not in ADDED]
+    hits = staged(hits, "hits")
+    own = [c for c in docs.columns if c not in (*ADDED, "text")]
     rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("__doc"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("__tx", F.xxhash64("text")).join(hits, ["__doc", "__tx"], "left").select("row", "text", "found")
-    kind = f"row {rows.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept_text string"
-    return rows.mapInArrow(_cut(length), kind).select("row.*", *ADDED)
+    kind = f"row {rows.schema['row'].dataType.simpleString()}, text string, n_words long, n_removed long, kept_text string"
+    ids = hits.select("__doc").distinct()
+    if ids.count() <= BROADCAST_IDS:  # then only texts that lose words are shuffled
+        few = F.broadcast(ids)
+        clean = rows.join(few, "__doc", "left_anti").withColumn("found", F.lit(None).cast(hits.schema["found"].dataType))
+        rows = rows.join(few, "__doc", "left_semi")
+    else:
+        clean = None
+    joined = rows.withColumn("__tx", _text_key()).join(hits, ["__doc", "__tx"], "left")
+    cut = [x.select("row", "text", "found").mapInArrow(_cut(length), kind) for x in (joined, clean) if x is not None]
+    out = cut[0] if len(cut) == 1 else cut[0].unionByName(cut[1])
+    back = {c: F.col("text").cast(docs.schema["text"].dataType).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ADDED}
+    return out.select(*back.values(), *ADDED)
+
+
+def _text_key() -> F.Column:
+    return F.xxhash64("text").bitwiseAND(0x7FFFFFFF)
