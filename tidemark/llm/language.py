@@ -164,7 +164,7 @@ def _predict(texts: list[tuple[str, str]]):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.cached(texts) if texts else None
         for batch in batches:
-            column = batch.column("text")
+            column = batch.column("row").field("text")
             lang, score = [], []
             at, chars = 0, pa.compute.fill_null(pa.compute.utf8_length(column), 0).to_numpy(zero_copy_only=False)
             while at < batch.num_rows:  # by about 8 million characters
@@ -214,7 +214,7 @@ def predict_language(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """docs (text, ...) -> the same columns, lang_pred and score (0 to 1: one less the ratio of the best to the next phrase count)."""
     texts = training_texts(labelled)
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(F.struct(*own).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*own).alias("row"))
     kind = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double"
     return rows.mapInArrow(_predict(texts), kind).select("row.*", "lang_pred", "score")
 

@@ -280,7 +280,7 @@ def _encode(model):
         encoder = Encoder.cached(model.value)
         for batch in batches:
             done = 0
-            for part in _stretches(batch.column("text").to_pylist()):
+            for part in _stretches(batch.column("row").field("text").to_pylist()):
                 counts, ids = encoder.encode(part)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), mask=np.array([t is None for t in part] + [False]))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
@@ -294,7 +294,7 @@ def _decode(model):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.cached(model.value)
         for batch in batches:
-            column = batch.column("ids")
+            column = batch.column("row").field("ids")
             at, values = column.offsets.to_numpy(), column.values.to_numpy()
             null = column.is_null().to_pylist()
             out = [None if null[k] else encoder.decode(values[at[k] : at[k + 1]].tolist()) for k in range(len(column))]
@@ -311,7 +311,7 @@ def _model(df: DataFrame, path: str):
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """docs (text, ...) -> the same columns and ids array<int>."""
     own = [c for c in docs.columns if c != "ids"]
-    rows = docs.select(F.struct(*own).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*own).alias("row"))
     out = rows.mapInArrow(_encode(_model(docs, model_path)), f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
     return out.select("row.*", "ids")
 
@@ -319,6 +319,6 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 def decode(pieces: DataFrame, model_path: str) -> DataFrame:
     """pieces (ids array<int>, ...) -> the same columns and decoded string."""
     own = [c for c in pieces.columns if c not in ("ids", "decoded")]
-    rows = pieces.select(F.struct(*own, F.col("ids")).alias("row"), "ids")
+    rows = pieces.select(F.struct(*own, F.col("ids")).alias("row"))
     out = rows.mapInArrow(_decode(_model(pieces, model_path)), f"row {rows.schema['row'].dataType.simpleString()}, decoded string")
     return out.select("row.*", "decoded")
