@@ -44,6 +44,15 @@ def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), held_out)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import attribute_tokens
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = attribute_tokens(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", rule="start")
+    return found.select("doc_id", "n_tokens", "n_crossing", F.size("section_tokens").cast("long").alias("n_sections"), F.array_max("section_tokens").cast("long").alias("longest_section"),
+                        F.xxhash64("section_tokens").alias("sections_hash"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_windows, read_back
 
@@ -91,6 +100,13 @@ from placed p left join repeated r on r.conv_id = p.conv_id left join again a on
 """
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs, entropy_share=0.97).select("doc_id", "source", F.col("pass").alias("pass_no"))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann_tree import search
 
@@ -113,5 +129,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language, op3_near_text, op4_brown, op6_chat, op8_ann, op9_pieces, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language, op3_near_text, op4_brown, op5_token_counts, op6_chat, op7_mixing, op8_ann, op9_pieces, op10_repeats)}
 ORACLE_SQL: dict[str, str] = {"op6_chat": OP6_SQL}
