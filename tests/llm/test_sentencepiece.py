@@ -46,7 +46,7 @@ def test_unigram_viterbi_against_all_segmentations():
     v.bpe = False
     v.ids = {p: i for i, p in enumerate(["a", "b", "ab", "ba", "abb", MARK, MARK + "a"])}
     v.pieces, v.scores = list(v.ids), [-2.0, -2.5, -3.1, -3.3, -4.2, -1.0, -2.4]
-    v.suffixes = {p[k:] for p in v.ids for k in range(len(p))}
+    v.prefixes = {p[:k] for p in v.ids for k in range(len(p) + 1)}
     v.least = -20.0
 
     def best(w):

@@ -23,6 +23,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: Characters encoded at a time, and words remembered between these stretches.
 STRETCH_CHARS = 1_000_000
-REMEMBERED = 250_000
+REMEMBERED = 150_000
+#: Compatible pairs and automaton steps remembered.
+PAIRS, STEPS = 300_000, 300_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -86,15 +89,17 @@ class Vocabulary:
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.types[i] == NORMAL}
         self.byte = [self.pieces.index(f"<0x{b:02X}>") for b in range(256)] if BYTE in self.types else None
         self.unknown = self.types.index(UNKNOWN)
-        self.suffixes = {p[k:] for p in self.ids for k in range(len(p))}
+        self.prefixes = {p[:k] for p in self.ids for k in range(len(p) + 1)}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece crosses a word mark")
         self.output = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == 3 else p.replace(MARK, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
         alone = "" if any("\n" in p for p in self.ids) else "\n"
         self.words = re.compile(f"{alone}|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" if alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.least = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
+        self._flat: tuple[np.ndarray, np.ndarray] | None = None
+        self._steps: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
 
     def merge(self, word: str) -> list[int]:
         """Byte-pair merging by the definition: best score first, then leftmost; -1 is a character outside the vocabulary."""
@@ -132,20 +137,28 @@ class Vocabulary:
         """Whether merging leaves the two pieces as they are."""
         if left < 0:
             return self.whole(right)
-        found = self._pairs.get((left, right))
-        if found is None:
-            if len(self._pairs) > 2_000_000:
-                self._pairs.clear()
-            found = self._pairs[left, right] = self.merge(self.pieces[left] + self.pieces[right]) == [left, right]
+        if len(self._pairs) > PAIRS:
+            self._pairs.clear()
+        found = self._pairs[left << 20 | right] = self.merge(self.pieces[left] + self.pieces[right]) == [left, right]
+        return found
+
+    def step(self, text: str) -> tuple[str, tuple[tuple[int, int], ...]]:
+        """The longest suffix of text that begins a piece, and the pieces (id, length) that end the text, longest first."""
+        state = text
+        while state not in self.prefixes:
+            state = state[1:]
+        if len(self._steps) > STEPS:
+            self._steps.clear()
+        ends = tuple((self.ids[state[k:]], len(state) - k) for k in range(len(state)) if state[k:] in self.ids)
+        found = self._steps[text] = (state, ends)
         return found
 
     def encode_sorted(self, words: list[str]) -> list[list[int]]:
         """Piece ids of sorted words; -1 stands for a character outside the vocabulary."""
-        ids, suffixes, bpe, scores = self.ids, self.suffixes, self.bpe, self.scores
-        last: list[int] = [-2]  # last piece of each prefix
-        size: list[int] = [0]  # its characters
-        best: list[float] = [0.0]
-        pairs, before, out = self._pairs, "", []
+        bpe, scores, steps, pairs = self.bpe, self.scores, self._steps, self._pairs
+        # By length of the prefix: automaton state, last piece and its length, and the Viterbi score of a unigram model.
+        states, last, size, best = [""], [-2], [0], [0.0]
+        before, out = "", []
         for word in words:
             if bpe and MARK * 2 in word:  # equal scores of runs of marks
                 out.append(self.merge(word))
@@ -156,38 +169,33 @@ class Vocabulary:
             else:
                 while word[shared] == before[shared]:
                     shared += 1
-            del last[shared + 1 :], size[shared + 1 :], best[shared + 1 :]
+            del states[shared + 1 :], last[shared + 1 :], size[shared + 1 :], best[shared + 1 :]
+            state = states[shared]
             for end in range(shared + 1, len(word) + 1):
-                found = []
-                start = end - 1
-                while start >= 0 and (s := word[start:end]) in suffixes:
-                    if (k := ids.get(s)) is not None:
-                        found.append((k, start))
-                    start -= 1
+                key = state + word[end - 1]
+                found = steps.get(key)
+                if found is None:
+                    found = self.step(key)
+                state, ends = found
+                piece, width = -1, 1
                 if bpe:
-                    piece, width = -1, 1
-                    for k, start in reversed(found):
-                        left = last[start]
-                        ok = (self.whole(k) if left == -2 else pairs.get((left, k))) if left != -1 else self.whole(k)
+                    for k, n in ends:
+                        left = last[end - n]
+                        ok = pairs.get(left << 20 | k) if left >= 0 else self.whole(k)
                         if ok is None:
                             ok = self.fits(left, k)
                         if ok:
-                            piece, width = k, end - start
+                            piece, width = k, n
                             break
-                    else:
-                        if found and found[0][1] == end - 1:  # cannot be for a character that is a piece
-                            raise AssertionError(f"no compatible piece in {word!r}")
-                    last.append(piece)
-                    size.append(width)
-                    best.append(0.0)
                 else:
-                    piece, width, score = -1, 1, best[end - 1] + self.least
-                    for k, start in found:
-                        if (value := best[start] + scores[k]) > score:
-                            piece, width, score = k, end - start, value
-                    last.append(piece)
-                    size.append(width)
+                    score = best[end - 1] + self.least
+                    for k, n in ends:
+                        if (value := best[end - n] + scores[k]) > score:
+                            piece, width, score = k, n, value
                     best.append(score)
+                states.append(state)
+                last.append(piece)
+                size.append(width)
             before = word
             own, at = [], len(word)
             while at:
@@ -197,6 +205,13 @@ class Vocabulary:
             out.append(own)
         return out
 
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all pieces end to end, and where each begins."""
+        if self._flat is None:
+            first = np.concatenate(([0], np.cumsum([len(x) for x in self.output])))
+            self._flat = np.frombuffer(b"".join(self.output), np.uint8), first
+        return self._flat
+
     def spelled(self, word: str, found: list[int]) -> list[int]:
         """Byte pieces in place of characters outside the vocabulary."""
         if -1 not in found:
@@ -239,25 +254,48 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids by text, all ids)."""
         words = [self.words(t or "") for t in texts]
-        if len(self.at) > REMEMBERED:
-            self.clear()
-        new = sorted({w for own in words for w in own if w not in self.at})
+        distinct = set().union(*words)
+        new = [w for w in distinct if w not in self.at]
+        if len(self.at) + len(new) > REMEMBERED and self.at:
+            self.keep([w for w in distinct if w in self.at])
         if new:
+            new.sort()
             v = self.vocabulary
             found = [v.spelled(w, p) for w, p in zip(new, v.encode_sorted(new), strict=True)]
             size = np.fromiter(map(len, found), np.int64, len(found))
-            self.pool = np.concatenate((self.pool, np.fromiter((k for p in found for k in p), np.int32, int(size.sum()))))
+            self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))))
             self.offset = np.concatenate((self.offset, self.offset[-1] + np.cumsum(size)))
             base = len(self.at)
             self.at.update(zip(new, range(base, base + len(new)), strict=True))
-        at = self.at
-        index = np.fromiter((at[w] for own in words for w in own), np.int64, sum(map(len, words)))
+        index = np.fromiter(map(self.at.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
         start, size = self.offset[index], self.offset[index + 1] - self.offset[index]
         total = np.concatenate(([0], np.cumsum(size)))
         ids = self.pool[np.arange(total[-1]) + np.repeat(start - total[:-1], size)]
         edge = total[np.concatenate(([0], np.cumsum([len(w) for w in words])))]
         return np.diff(edge), ids
 
+    def keep(self, words: list[str]) -> None:
+        """Forget all but the given words, which were met again."""
+        index = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        start, size = self.offset[index], self.offset[index + 1] - self.offset[index]
+        total = np.concatenate(([0], np.cumsum(size)))
+        self.pool = self.pool[np.arange(total[-1]) + np.repeat(start - total[:-1], size)]
+        self.offset = total
+        self.at = dict(zip(words, range(len(words)), strict=True))
+
+    def decode_all(self, ids: np.ndarray, edge: np.ndarray) -> list[str]:
+        """Texts of ids[edge[k] : edge[k + 1]], joined as bytes all at once."""
+        flat, first = self.vocabulary.flat()
+        size = first[ids + 1] - first[ids]
+        total = np.concatenate(([0], np.cumsum(size)))
+        raw = flat[np.arange(total[-1]) + np.repeat(first[ids] - total[:-1], size)].tobytes()
+        out = []
+        cut = total[edge].tolist()
+        drop = self.vocabulary.dummy
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            out.append(raw[a + 1 if drop and a < b and raw[a] == 32 else a : b].decode(errors="replace"))
+        return out
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.vocabulary.output.__getitem__, ids)).decode(errors="replace")
         return text[1:] if self.vocabulary.dummy and text.startswith(" ") else text
@@ -295,9 +333,15 @@ def _decode(model):
         encoder = Encoder.cached(model.value)
         for batch in batches:
             column = batch.column("row").field("ids")
-            at, values = column.offsets.to_numpy(), column.values.to_numpy()
-            null = column.is_null().to_pylist()
-            out = [None if null[k] else encoder.decode(values[at[k] : at[k + 1]].tolist()) for k in range(len(column))]
+            at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+            null, out, k = column.is_null().to_pylist(), [], 0
+            while k < len(column):
+                end = k + 1
+                while end < len(column) and at[end + 1] - at[k] <= STRETCH_CHARS:
+                    end += 1
+                out += encoder.decode_all(values[at[k] : at[end]], at[k : end + 1] - at[k])
+                k = end
+            out = [None if n else t for n, t in zip(null, out, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "decoded"])
 
     return f
