@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import trimmed
+
 UNKNOWN = "und"
 #: Bound of the labelled text behind one automaton, in characters, and of the documents it is drawn from.
 TRAIN_CHARS = 24_000
@@ -167,8 +169,8 @@ def _predict(texts: list[tuple[str, str]]):
             column = batch.column("row").field("text")
             lang, score = [], []
             at, chars = 0, pa.compute.fill_null(pa.compute.utf8_length(column), 0).to_numpy(zero_copy_only=False)
-            while at < batch.num_rows:  # by about 8 million characters
-                end = at + max(1, int(np.searchsorted(np.cumsum(chars[at:]), 8_000_000, "right")))
+            while at < batch.num_rows:  # by about 2 million characters
+                end = at + max(1, int(np.searchsorted(np.cumsum(chars[at:]), 2_000_000, "right")))
                 part = [x or "" for x in column.slice(at, end - at).to_pylist()]
                 at = end
                 if model is None:
@@ -216,7 +218,7 @@ def predict_language(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*own).alias("row"))
     kind = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double"
-    return rows.mapInArrow(_predict(texts), kind).select("row.*", "lang_pred", "score")
+    return rows.mapInArrow(trimmed(_predict(texts)), kind).select("row.*", "lang_pred", "score")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

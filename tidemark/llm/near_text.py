@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .store import staged
-from .words import as_bytes, mix64, sequence_hashes, tables
+from .words import as_bytes, mix64, sequence_hashes, tables, trimmed
 
 REGISTERS, ROWS = 128, 4
 BASE = 1.02
@@ -260,7 +260,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     both = sides.join(texts, "doc_id").groupBy("a", "b").agg(
         F.min(F.struct("doc_id", "text")).alias("x"), F.max(F.struct("doc_id", "text")).alias("y"))
     return both.select("a", "b", F.col("x.text").alias("ta"), F.col("y.text").alias("tb")).mapInArrow(
-        _verify(size, percent), "a long, b long")
+        trimmed(_verify(size, percent)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -280,21 +280,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """
     threshold = percent / 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = staged(docs.mapInArrow(_sketches(shingle), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"), "sketches")
+    base = staged(docs.mapInArrow(trimmed(_sketches(shingle)), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"), "sketches")
     sets = base.where("n_shingles > 0 and doc_id is not null")
     classes = sets.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"))
     own = staged(classes, "classes")
     reps = own.join(sets, (sets.doc_id == own.id)).select("id", own.n_shingles.alias("n"), "sketch").dropDuplicates(["id"])
     reps = staged(reps, "representatives")
 
-    bands = reps.mapInArrow(_bands, "band long, id long, n long, number int")
+    bands = reps.mapInArrow(trimmed(_bands), "band long, id long, n long, number int")
     shared = bands.groupBy("band").agg(F.min(F.struct("id", "n")).alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("members")).where("low.id < high")
     members = staged(bands.join(shared.select("band", F.col("low.id").alias("low"), F.col("low.n").alias("low_n"), "members"), "band"), "members")
 
     near = (F.col("low") < F.col("id")) & (F.col("low_n") >= threshold * F.col("n") - 1e-6) & (F.col("n") >= threshold * F.col("low_n") - 1e-6)
     star = members.where(near).groupBy(F.col("id").alias("b")).agg(F.min("low").alias("a"))
     side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    star = staged(star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(threshold), "a long, b long"), "star")
+    star = staged(star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(trimmed(_likely(threshold)), "a long, b long"), "star")
     links = staged(_confirmed(star, docs, shingle, percent), "confirmed")
     roots = components(links)
 
@@ -309,7 +309,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "root", "n", "block", "number")
     left = left.join(carried, "id").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    more = staged(left.mapInArrow(_within(shingle, percent), "a long, b long").distinct(), "more")
+    more = staged(left.mapInArrow(trimmed(_within(shingle, percent)), "a long, b long").distinct(), "more")
     roots = components(links.union(more))
 
     classes = own.join(roots, "id", "left").select("f1", "f2", F.col("n_shingles"), F.coalesce("root", "id").alias("class_root"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
 from .store import staged
-from .words import as_bytes, mix64, sequence_hashes, tables
+from .words import as_bytes, mix64, sequence_hashes, tables, trimmed
 
 #: Bits of the Bloom filter of shared anchors (8 MB), whatever the size of the corpus.
 BLOOM_BITS = 1 << 26
@@ -233,14 +233,14 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     run = max(1, length - min(48, max(1, length // 2)) + 1)
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    anchors = plain.mapInArrow(_anchors(length, run), "anchor long, doc long").groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    anchors = plain.mapInArrow(trimmed(_anchors(length, run)), "anchor long, doc long").groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     shared = staged(anchors.where("low < high").select("anchor"), "anchors")
     bloom = spark.sparkContext.broadcast(_bloom(shared))
     found = plain.withColumn("tx", _text_key()).mapInArrow(
-        _shared_segments(length, run, bloom), "anchor long, key long, doc long, tx long, start long, count long, seg binary")
+        trimmed(_shared_segments(length, run, bloom)), "anchor long, key long, doc long, tx long, start long, count long, seg binary")
     found = staged(found, "segments")
     carriers = found.where("seg is not null").select("anchor", "key", "doc", "seg")
-    homes = carriers.repartition("anchor").sortWithinPartitions("anchor", "key").mapInArrow(_indexed(length), "anchor long, key long, low long, mask long")
+    homes = carriers.repartition("anchor").sortWithinPartitions("anchor", "key").mapInArrow(trimmed(_indexed(length)), "anchor long, key long, low long, mask long")
     hits = found.select("anchor", "key", "doc", "tx", "start", "count").join(homes, ["anchor", "key"])
     # -1: every window of the segment; the smallest document with a segment is judged by the mask alone.
     hits = hits.withColumn("mask", F.when(F.col("doc") > F.col("low"), F.lit(-1)).otherwise(F.col("mask"))).where("mask <> 0")
@@ -257,7 +257,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     else:
         clean = None
     joined = rows.withColumn("__tx", _text_key()).join(hits, ["__doc", "__tx"], "left")
-    cut = [x.select("row", "text", "found").mapInArrow(_cut(length), kind) for x in (joined, clean) if x is not None]
+    cut = [x.select("row", "text", "found").mapInArrow(trimmed(_cut(length)), kind) for x in (joined, clean) if x is not None]
     out = cut[0] if len(cut) == 1 else cut[0].unionByName(cut[1])
     back = {c: F.col("text").cast(docs.schema["text"].dataType).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ADDED}
     return out.select(*back.values(), *ADDED)

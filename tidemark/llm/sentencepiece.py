@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import trimmed
+
 MARK = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: Characters encoded at a time, and words remembered between these stretches.
@@ -356,7 +358,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """docs (text, ...) -> the same columns and ids array<int>."""
     own = [c for c in docs.columns if c != "ids"]
     rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*own).alias("row"))
-    out = rows.mapInArrow(_encode(_model(docs, model_path)), f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
+    out = rows.mapInArrow(trimmed(_encode(_model(docs, model_path))), f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
     return out.select("row.*", "ids")
 
 
@@ -364,5 +366,5 @@ def decode(pieces: DataFrame, model_path: str) -> DataFrame:
     """pieces (ids array<int>, ...) -> the same columns and decoded string."""
     own = [c for c in pieces.columns if c not in ("ids", "decoded")]
     rows = pieces.select(F.struct(*own, F.col("ids")).alias("row"))
-    out = rows.mapInArrow(_decode(_model(pieces, model_path)), f"row {rows.schema['row'].dataType.simpleString()}, decoded string")
+    out = rows.mapInArrow(trimmed(_decode(_model(pieces, model_path))), f"row {rows.schema['row'].dataType.simpleString()}, decoded string")
     return out.select("row.*", "decoded")

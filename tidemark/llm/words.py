@@ -127,6 +127,27 @@ def sequence_hashes(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     return mix64(out)
 
 
+def trimmed(f):
+    """f over batches, after which freed memory goes back to the system: workers live on with the next stage."""
+
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def as_bytes(column) -> list[bytes | None]:
     """An Arrow string column as UTF-8 bytes, without decoding."""
     import pyarrow as pa
