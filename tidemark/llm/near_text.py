@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .store import staged
-from .words import as_bytes, mix64, sequence_hashes, tables, trimmed
+from .words import as_bytes, mix64, sequence_hashes, slices, tables, trimmed
 
 REGISTERS, ROWS = 128, 4
 BASE = 1.02
@@ -107,7 +107,7 @@ def similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, thr
 
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, f1, f2, sk = [], [], [], []
             for _, _, _, words in tables(as_bytes(batch.column("text")), True):
                 s = shingle_set(words, size)

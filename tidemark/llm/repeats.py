@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
 from .store import staged
-from .words import as_bytes, mix64, sequence_hashes, tables, trimmed
+from .words import as_bytes, mix64, sequence_hashes, slices, tables, trimmed
 
 #: Bits of the Bloom filter of shared anchors (8 MB), whatever the size of the corpus.
 BLOOM_BITS = 1 << 26
@@ -55,7 +55,7 @@ def segments(words: np.ndarray, length: int, run: int) -> tuple[np.ndarray, np.n
 
 def _anchors(length: int, run: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, out, own = batch.column("doc_id").to_numpy(), [], []
             for k, _, _, words in tables(as_bytes(batch.column("text")), False):
                 a = segments(words, length, run)[2]
@@ -90,7 +90,7 @@ def _bloom(anchors: DataFrame) -> np.ndarray:
 def _shared_segments(length: int, run: int, bloom):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
-        for batch in batches:
+        for batch in slices(batches):
             ids, tx = batch.column("doc_id").to_numpy(), batch.column("tx").to_numpy()
             raw = as_bytes(batch.column("text"))
             parts, texts = [], []

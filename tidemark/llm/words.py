@@ -127,6 +127,26 @@ def sequence_hashes(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     return mix64(out)
 
 
+def slices(batches, column: str = "text", most: int = 16_000_000):
+    """Parts of record batches with about ``most`` bytes of text, and at least one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        end = np.cumsum(pa_lengths(batch.column(column)))
+        at = 0
+        while at < batch.num_rows:
+            done = int(end[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(end, done + most, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def pa_lengths(column) -> np.ndarray:
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+
+
 def trimmed(f):
     """f over batches, after which freed memory goes back to the system: workers live on with the next stage."""
 
