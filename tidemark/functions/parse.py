@@ -47,9 +47,14 @@ def _digits(c: Column) -> Column:
     return F.when(F.length(bare) <= 18, bare.try_cast("bigint"))
 
 
-def parse_numeric(raw: Column) -> Column:
+def _norm(raw: Column, norm: Column | None) -> Column:
+    """norm is nfkc(raw) where the caller has it as a column already: one round trip to Python serves all uses."""
+    return nfkc(raw) if norm is None else norm
+
+
+def parse_numeric(raw: Column, norm: Column | None = None) -> Column:
     """Integers, closed ranges, and what is wrong with the rest; the first rule that fits wins."""
-    v = strip(nfkc(raw))
+    v = strip(_norm(raw, norm))
     pattern = rf"^([0-9]+)[{PY_SPACE}]*(?:[-~～〜–—]|至)[{PY_SPACE}]*([0-9]+)$"
     whole, lo, hi = _digits(v), _digits(F.regexp_extract(v, pattern, 1)), _digits(F.regexp_extract(v, pattern, 2))
     bare = lambda g: F.regexp_replace(F.regexp_extract(v, pattern, g), "^0+(?=.)", "")
@@ -81,24 +86,24 @@ def parse_text(raw: Column) -> Column:
     return value(raw, F.when(raw == "", typed()).otherwise(typed("text", raw)), flags())
 
 
-def calendar_date(raw: Column) -> Column:
+def calendar_date(raw: Column, norm: Column | None = None) -> Column:
     """A real calendar day written yyyy/MM/dd, or null; year 0000 is none."""
-    v = strip(nfkc(raw))
+    v = strip(_norm(raw, norm))
     return F.when(v.rlike(r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$") & ~v.startswith("0000"), F.try_to_date(v, "yyyy/MM/dd"))
 
 
-def parse_period(raw: Column, end: bool) -> Column:
+def parse_period(raw: Column, end: bool, norm: Column | None = None) -> Column:
     side = "End" if end else "Start"
-    day = calendar_date(raw)
-    blank = strip(nfkc(raw)) == ""
+    day = calendar_date(raw, norm)
+    blank = strip(_norm(raw, norm)) == ""
     kind = F.when(day.isNotNull(), typed("date", None, None, None, day)).otherwise(typed())
     return value(raw, kind, F.when(blank, flags(f"period{side}Missing")).when(day.isNull(), flags(f"period{side}Unparsed")).otherwise(flags()))
 
 
-def parse_updated(raw: Column, build_date: dt.date) -> Column:
+def parse_updated(raw: Column, build_date: dt.date, norm: Column | None = None) -> Column:
     """struct<raw, date, flag, usable>; a date after the build keeps its value and is not usable."""
-    day = calendar_date(raw)
-    flag = F.when(strip(nfkc(raw)) == "", "dateMissing").when(day.isNull(), "dateUnparsed").when(day > F.lit(build_date), "dateFuture")
+    day = calendar_date(raw, norm)
+    flag = F.when(strip(_norm(raw, norm)) == "", "dateMissing").when(day.isNull(), "dateUnparsed").when(day > F.lit(build_date), "dateFuture")
     return F.struct(raw.alias("raw"), day.alias("date"), flag.alias("flag"), (day.isNotNull() & flag.isNull()).alias("usable"))
 
 
@@ -106,20 +111,21 @@ def period_order_anomaly(start: Column, end: Column) -> Column:
     return F.coalesce(end["typed"]["dt"] < start["typed"]["dt"], F.lit(False))
 
 
-def parse_field(spec: SnapshotSpec, name: str, raw: Column) -> Column:
+def parse_field(spec: SnapshotSpec, name: str, raw: Column, norm: Column | None = None) -> Column:
     if name == spec.updated:
         raise ValueError("the update date is not a presentation column")
     kind = spec.kind(name)
     if kind == "numeric":
-        return parse_numeric(raw)
+        return parse_numeric(raw, norm)
     if kind == "categorical":
         return parse_categorical(raw, spec.categorical[name])
-    return parse_period(raw, name == spec.period_end) if kind == "period" else parse_text(raw)
+    return parse_period(raw, name == spec.period_end, norm) if kind == "period" else parse_text(raw)
 
 
-def suspected_test_row(spec: SnapshotSpec) -> Column:
-    blank = lambda c: strip(nfkc(F.col(f"`{c}`"))) == ""
-    words = [F.lower(strip(nfkc(F.col(f"`{c}`")))) == "test" for c in spec.presentation]
+def suspected_test_row(spec: SnapshotSpec, norms: dict[str, Column] | None = None) -> Column:
+    of = lambda c: strip(_norm(F.col(f"`{c}`"), (norms or {}).get(c)))
+    blank = lambda c: of(c) == ""
+    words = [F.lower(of(c)) == "test" for c in spec.presentation]
     marks = [F.col(f"`{spec.identity}`").contains(m) for m in spec.test_marks]
     found = F.lit(False)
     if spec.applicant and spec.title:
@@ -129,11 +135,11 @@ def suspected_test_row(spec: SnapshotSpec) -> Column:
     return found
 
 
-def comparison_key(kind: str, v: Column) -> Column:
+def comparison_key(kind: str, v: Column, norm: Column | None = None) -> Column:
     """Key by which two values of a column agree; a combination outside the table is a bug and raises."""
     key = lambda *parts: F.concat_ws(SEPARATOR, *(F.lit(p) if isinstance(p, str) else p for p in parts))
     raw, kinds, found = v["raw"], v["typed"]["kind"], F.array_join(v["flags"], ",")
-    text = conflict_text(raw)
+    text = conflict_text(raw) if norm is None else F.regexp_replace(norm, rf"[{PY_SPACE}]+", "")
     if kind == "text":
         return key("text", text)
     if kind == "numeric":

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from ..functions.text import facet_normalize, loose_key
+from ..functions.text import facet_normalize, loose_key, nfkc
 from ..plans.spec import SnapshotSpec
 from . import identity
 
@@ -50,16 +50,22 @@ def record_order(records: DataFrame, entity: str, day: str, rid: str) -> DataFra
 
 def build_records(rows: DataFrame, spec: SnapshotSpec, build_date: dt.date) -> DataFrame:
     """Raw rows -> rid, tid, key, raw map, fields array, updated, record_flags; one row each."""
-    keyed = identity.assign_keys(rows.withColumn("canon", parse.canonical(spec.columns)), spec.identity)
     at = lambda c: F.col(f"`{c}`")
-    fields = F.array(*(F.struct(F.lit(c).alias("field"), v.alias("value"), parse.comparison_key(spec.kind(c), v).alias("key")) for c in spec.presentation for v in [parse.parse_field(spec, c, at(c))]))
+    names = (*spec.presentation, spec.updated)
+    norm = {c: F.col(f"n{k}") for k, c in enumerate(names)}
+    # In steps, each a projection: normal forms (one round trip to Python), typed values, comparison keys.
+    rows = rows.select("*", *(nfkc(at(c)).alias(f"n{k}") for k, c in enumerate(names)), parse.canonical(spec.columns).alias("canon"))
+    values = {c: F.col(f"v{k}") for k, c in enumerate(spec.presentation)}
+    rows = rows.select("*", *(parse.parse_field(spec, c, at(c), norm[c]).alias(f"v{k}") for k, c in enumerate(spec.presentation)))
+    rows = rows.select("*", *(parse.comparison_key(spec.kind(c), values[c], norm[c]).alias(f"k{k}") for k, c in enumerate(spec.presentation)))
+    fields = F.array(*(F.struct(F.lit(c).alias("field"), values[c].alias("value"), F.col(f"k{k}").alias("key")) for k, c in enumerate(spec.presentation)))
     raw = F.map_from_arrays(F.array(*map(F.lit, spec.columns)), F.array(*map(at, spec.columns)))
-    late = F.lit(False)
-    if spec.period_start and spec.period_end:
-        late = parse.period_order_anomaly(parse.parse_period(at(spec.period_start), False), parse.parse_period(at(spec.period_end), True))
-    marks = F.array_compact(F.array(F.when(late, F.lit("periodEndBeforeStart")), F.when(parse.suspected_test_row(spec), F.lit("suspectedTestRow"))))
-    updated = parse.parse_updated(at(spec.updated), build_date)
-    out = keyed.select("rid", "tid", "key", "norm", "hash", at(spec.identity).alias("protocol"), raw.alias("raw"), fields.alias("fields"), updated.alias("updated"), marks.alias("record_flags"))
+    late = parse.period_order_anomaly(values[spec.period_start], values[spec.period_end]) if spec.period_start and spec.period_end else F.lit(False)
+    marks = F.array_compact(F.array(F.when(late, F.lit("periodEndBeforeStart")), F.when(parse.suspected_test_row(spec, norm), F.lit("suspectedTestRow"))))
+    updated = parse.parse_updated(at(spec.updated), build_date, norm[spec.updated])
+    rows = rows.select(at(spec.identity), "canon", raw.alias("raw"), fields.alias("fields"), updated.alias("updated"), marks.alias("record_flags"))
+    keyed = identity.assign_keys(rows, spec.identity)
+    out = keyed.select("rid", "tid", "key", "norm", "hash", at(spec.identity).alias("protocol"), "raw", "fields", "updated", "record_flags")
     return out.withColumn("day", F.when(F.col("updated.usable"), F.col("updated.date")))
 
 

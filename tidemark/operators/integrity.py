@@ -5,6 +5,8 @@ A rule whose precondition is missing is reported as unevaluable, not violated.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,13 +66,9 @@ def violations(trials: DataFrame, records: DataFrame, facets: DataFrame, recompu
 
 def evaluate(rules: dict[str, DataFrame | None]) -> tuple[list[str], list[str]]:
     """(violated, unevaluable) rule names."""
-    violated, lost = [], []
-    for name, df in rules.items():
-        if df is None:
-            lost.append(name)
-        elif df.limit(1).count():
-            violated.append(name)
-    return violated, lost
+    parts = [df.limit(1).select(F.lit(name).alias("rule")) for name, df in rules.items() if df is not None]
+    found = {r.rule for r in reduce(DataFrame.union, parts).collect()} if parts else set()
+    return [n for n in rules if n in found], [n for n, df in rules.items() if df is None]
 
 
 def require(rules: dict[str, DataFrame | None]) -> None:
