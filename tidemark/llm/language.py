@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import trimmed
+from .words import CACHES, trimmed
 
 UNKNOWN = "und"
 #: Bound of the labelled text behind one automaton, in characters, and of the documents it is drawn from.
@@ -162,6 +162,9 @@ class Model:
         return total, size
 
 
+CACHES["language"] = Model._cache
+
+
 def _predict(texts: list[tuple[str, str]]):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.cached(texts) if texts else None
@@ -218,7 +221,7 @@ def predict_language(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*own).alias("row"))
     kind = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double"
-    return rows.mapInArrow(trimmed(_predict(texts)), kind).select("row.*", "lang_pred", "score")
+    return rows.mapInArrow(trimmed(_predict(texts), "language"), kind).select("row.*", "lang_pred", "score")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import trimmed
+from .words import CACHES, trimmed
 
 MARK = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -38,7 +38,7 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 STRETCH_CHARS = 1_000_000
 REMEMBERED = 150_000
 #: Compatible pairs and automaton steps remembered.
-PAIRS, STEPS = 300_000, 300_000
+PAIRS, STEPS = 200_000, 200_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -303,6 +303,9 @@ class Encoder:
         return text[1:] if self.vocabulary.dummy and text.startswith(" ") else text
 
 
+CACHES["pieces"] = Encoder._cache
+
+
 def _stretches(texts: list[str | None]) -> Iterator[list[str | None]]:
     part, size = [], 0
     for t in texts:
@@ -358,7 +361,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """docs (text, ...) -> the same columns and ids array<int>."""
     own = [c for c in docs.columns if c != "ids"]
     rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*own).alias("row"))
-    out = rows.mapInArrow(trimmed(_encode(_model(docs, model_path))), f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
+    out = rows.mapInArrow(trimmed(_encode(_model(docs, model_path)), "pieces"), f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
     return out.select("row.*", "ids")
 
 
@@ -366,5 +369,5 @@ def decode(pieces: DataFrame, model_path: str) -> DataFrame:
     """pieces (ids array<int>, ...) -> the same columns and decoded string."""
     own = [c for c in pieces.columns if c not in ("ids", "decoded")]
     rows = pieces.select(F.struct(*own, F.col("ids")).alias("row"))
-    out = rows.mapInArrow(trimmed(_decode(_model(pieces, model_path))), f"row {rows.schema['row'].dataType.simpleString()}, decoded string")
+    out = rows.mapInArrow(trimmed(_decode(_model(pieces, model_path)), "pieces"), f"row {rows.schema['row'].dataType.simpleString()}, decoded string")
     return out.select("row.*", "decoded")

@@ -24,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import CACHES, trimmed
+
 #: Fixed value: how byte-level vocabularies of this family cut a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("start", "middle", "end", "split")
 ADDED = ("n_tokens", "n_crossing", "section_tokens")
 _cache: dict[int, tuple] = {}
+CACHES["tokens"] = _cache
 
 
 def _encoding(raw: bytes):
@@ -121,4 +124,4 @@ def attribute_tokens(docs: DataFrame, ranks_path: str, rule: str = "start", sect
         columns.append(F.col(sections).cast("array<struct<start:int,end:int>>").alias("sections"))
     rows = docs.select(*columns)
     kind = f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, n_crossing long, section_tokens array<double>"
-    return rows.mapInArrow(_attribute(model, rule, sections is None), kind).select("row.*", *ADDED)
+    return rows.mapInArrow(trimmed(_attribute(model, rule, sections is None), "tokens"), kind).select("row.*", *ADDED)

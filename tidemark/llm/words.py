@@ -147,16 +147,32 @@ def pa_lengths(column) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
 
 
-def trimmed(f):
-    """f over batches, after which freed memory goes back to the system: workers live on with the next stage."""
+#: What operators keep between the tasks of a worker, by operator.
+CACHES: dict[str, dict] = {}
+
+
+def trimmed(f, keeps: str = ""):
+    """f over batches, with memory given back before and after it.
+
+    A Python worker lives on with the next stage: what other operators keep in
+    it is dropped when f starts, all but the cache named by ``keeps``.
+    """
 
     def run(batches):
+        drop_others(keeps)
+        give_back()
         yield from f(batches)
         give_back()
 
     return run
 
 
+def drop_others(keeps: str) -> None:
+    for name, cache in CACHES.items():
+        if name != keeps:
+            cache.clear()
+
+
 def give_back() -> None:
     import ctypes
 
