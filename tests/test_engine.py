@@ -30,7 +30,7 @@ def row(**kw):
 
 ROWS = [
     row(protocol="ABC-1", updated="2024/05/01", tw="5"),
-    row(protocol=" ABC-1", updated="2024/05/02", tw="6"),
+    row(protocol=" ABC-1", updated="2024/05/02", tw="6", applicant="Acme Inc"),
     row(protocol="ABC-1", updated="2024/05/02", tw="06", applicant="Acme  Inc"),
     row(protocol="ABC-1", updated="2024/05/02", tw="6", applicant="Acme Inc"),
     row(protocol="ABC 1", updated="2024/04/01", purpose="hidden word"),
@@ -59,10 +59,13 @@ def as_csv(rows, header=TRIALS.columns):
 
 
 @pytest.fixture(scope="module")
-def tables(spark):
+def tables(spark, tmp_path_factory):
     df = snapshot.read_snapshot(spark, zipped(as_csv(ROWS).encode()), TRIALS)
     out = build(df, TRIALS, BUILD)
-    return {k: v.cache() for k, v in out.items()}
+    base = tmp_path_factory.mktemp("tables")
+    for k, v in out.items():
+        v.coalesce(1).write.parquet(str(base / k))
+    return {k: spark.read.parquet(str(base / k)) for k in out}
 
 
 def trial(tables, protocol):

@@ -56,6 +56,10 @@ def require_known(hits: DataFrame, trials: DataFrame, tid: str = "tid") -> None:
         raise SnapshotError("INTEGRITY_DIGEST", "search entries of unknown entities", entities=[r[0] for r in lost])
 
 
+def _holds(term: str):
+    return lambda x: x.contains(term)
+
+
 def search_scope(tables: dict[str, DataFrame], index: DataFrame, terms: list[str], scope: tuple[str, str], cross_group: bool = False) -> DataFrame:
     """Hits of a scope.
 
@@ -74,7 +78,7 @@ def search_scope(tables: dict[str, DataFrame], index: DataFrame, terms: list[str
     hits = []
     for p in parts:
         values = F.map_values("f")
-        every = reduce(lambda a, b: a & b, [F.exists(values, lambda x, t=t: x.contains(t)) for t in terms])
+        every = reduce(lambda a, b: a & b, [F.exists(values, _holds(t)) for t in terms])
         named = F.map_keys(F.map_filter("f", lambda k, x: reduce(lambda a, b: a | b, [x.contains(t) for t in terms])))
         hits.append(p.where(every).select(F.col("t").alias("entity"), F.col("r").alias("record"), F.col("d").alias("day"), named.alias("hit_fields")))
     return merge_hits(*hits)
