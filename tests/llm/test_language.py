@@ -1,6 +1,6 @@
 import random
 
-from tidemark.llm.language import STRETCH, Model, automaton, predict_language
+from tidemark.llm.language import STRETCH, Model, automaton, predict_language, training_texts
 
 
 def parse(text, corpus):
@@ -51,3 +51,15 @@ def test_predicts_and_rejects(spark):
     assert all(r.lang_pred == want[r.doc_id] and 0 <= r.score <= 1 for r in out)
     assert {r.lang_pred for r in predict_language(docs, train.limit(0)).collect()} == {"und"}
     assert predict_language(docs.limit(0), train).count() == 0
+
+
+def test_a_long_document_leaves_room_for_the_others(spark):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in (2, 1, 0))
+    long = " ".join(f"long{name(i)}" for i in range(4000))
+    rows = [(0, long, "xx")] + [(i, f"short{name(i)} text of its own", "xx") for i in range(1, 30)]
+    ((lang, text),) = training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars=2000, docs=1000)
+    assert lang == "xx" and 1900 < len(text) <= 2000
+    assert sum(f"short{name(i)} text of its own" in text for i in range(1, 30)) > 20
+    # of the long one, pieces of its beginning, middle and end
+    own = [k for k in range(4000) if f" long{name(k)} " in text]
+    assert min(own) < 100 and max(own) > 3900 and any(1500 < x < 2500 for x in own)

@@ -196,22 +196,51 @@ def _predict(texts: list[tuple[str, str]]):
     return f
 
 
+def _level(sizes: list[int], chars: int) -> int:
+    """The characters each document may give so that all of them, with a space after each, give at most ``chars``."""
+    left, level = max(0, chars - len(sizes)), 0
+    for k, size in enumerate(sorted(sizes)):
+        level = left // (len(sizes) - k)
+        if size > level:
+            break
+        left -= size
+        level = size
+    return max(1, level)
+
+
+def _spread(text: F.Column, size: F.Column, n: F.Column) -> F.Column:
+    """n of the size characters of text, in pieces of about STRETCH that lie evenly over it; all of it where n is no less."""
+    pieces = F.greatest(F.lit(1), F.ceil(n / STRETCH)).cast("int")
+    own = F.greatest(F.lit(1), F.floor(n / pieces) - 1).cast("int")
+    start = lambda k: F.floor(k * (size - own) / F.greatest(F.lit(1), pieces - 1)).cast("int") + 1
+    found = F.transform(F.sequence(F.lit(0), pieces - 1), lambda k: F.substring(text, start(k), own))
+    return F.when(size <= n, text).otherwise(F.array_join(found, " "))
+
+
 def training_texts(labelled: DataFrame, chars: int = TRAIN_CHARS, docs: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """A bounded sample of labelled text by language: at most ``docs`` documents in hash order, cut at ``chars``.
+    """A bounded sample of labelled text by language: at most ``docs`` documents in hash order, ``chars`` characters in all.
 
-    labelled: doc_id, text, lang.  Only ids are compared to choose; the chosen
-    texts alone reach the driver, each cut to the bound before it is sent.
+    labelled: doc_id, text, lang.  Only ids and sizes are compared to choose;
+    the chosen texts alone reach the driver.  The bound is shared: what short
+    documents leave goes to the longer ones, each of which gives pieces from
+    all over its text.
     """
     rows = labelled.where("lang is not null and text is not null and doc_id is not null")
     draw = rows.select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)).alias("h"))
     drawn = draw.groupBy("lang", F.pmod("h", F.lit(docs)).alias("slot")).agg(F.min_by("doc_id", "h").alias("doc_id"))
     ids = sorted({r.doc_id for r in drawn.select("doc_id").collect()})
-    picked = rows.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", F.substring("text", 1, chars).alias("text")).collect()
+    if not ids:
+        return []
+    chosen = rows.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", "text", F.char_length("text").alias("size"))
+    sizes: dict[str, list[int]] = {}
+    for r in chosen.select("lang", "size").collect():
+        sizes.setdefault(r.lang, []).append(r.size)
+    levels = {k: _level(v, chars) for k, v in sizes.items()}
+    level = F.create_map(*(F.lit(x) for pair in levels.items() for x in pair))[F.col("lang")]
+    picked = chosen.select("lang", "doc_id", _spread(F.col("text"), F.col("size"), level).alias("text")).collect()
     texts: dict[str, str] = {}
     for r in sorted(picked, key=lambda r: (r.lang, r.doc_id)):
-        have = texts.get(r.lang, "")
-        if len(have) < chars:
-            texts[r.lang] = (have + " " + _fold(r.text))[:chars]
+        texts[r.lang] = (texts.get(r.lang, "") + " " + _fold(r.text)[: levels[r.lang]])[:chars]
     return sorted((k, t) for k, t in texts.items() if t.strip())
 
 
