@@ -10,7 +10,7 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.near_text import near_duplicates
 from tidemark.llm.queries import TOKENIZERS
 from tidemark.llm.repeats import remove_repeats
-from tidemark.llm.sentencepiece import encode
+from tidemark.llm.sentencepiece import decode, encode
 from tidemark.llm.store import staged
 
 #: Words of a passage that is removed where it repeats.
@@ -57,9 +57,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text."""
-    out = encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
-    return out.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    """Token ids of every text, and whether they give the text back."""
+    out = decode(encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    back = F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")
+    return out.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "ids", back)
 
 
 STAGES = [
@@ -67,7 +68,7 @@ STAGES = [
     ("MinHash near-dedup", near_dedup),
     ("substring dedup", substring_dedup),
     ("mixing sources to target weights", mixing),
-    ("SentencePiece encoding", pieces),
+    ("SentencePiece encoding and decoding", pieces),
 ]
 
 

@@ -55,3 +55,14 @@ def test_stages_on_an_empty_table(spark):
         assert out.count() == 0
         if k < 4:
             assert out.columns == docs.columns
+
+
+def test_last_stage_decodes_every_row(spark, library):
+    texts = ["ka to schung", "  two  spaces ", "tab\tand\nline", "\ufb01ne \u2460", "", None, "\U0001f600 x"]
+    docs = spark.createDataFrame([(i, t, "xx", "src0", len(t or "")) for i, t in enumerate(texts)], SCHEMA)
+    name, stage = p.STAGES[-1]
+    got = {r.doc_id: r for r in stage(spark, docs, "").collect()}
+    assert "decoding" in name and set(got) == set(range(len(texts)))
+    for i, t in enumerate(texts):
+        assert got[i].round_trip == (t is None or library.decode(library.encode(t)) == t)
+    assert got[0].round_trip
