@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tidemark.llm.queries import TOKENIZERS
-from tidemark.llm.sentencepiece import MARK, Encoder, Vocabulary, decode, encode
+from tidemark.llm.sentencepiece import MARK, Encoder, Vocabulary, decode, encode, encode_and_check
 
 PATH = f"{TOKENIZERS}/piece_bpe_32k.model"
 
@@ -48,6 +48,7 @@ def test_unigram_viterbi_against_all_segmentations():
     v.pieces, v.scores = list(v.ids), [-2.0, -2.5, -3.1, -3.3, -4.2, -1.0, -2.4]
     v.prefixes = {p[:k] for p in v.ids for k in range(len(p) + 1)}
     v.least = -20.0
+    v.width = [len(p) for p in v.pieces] + [1]
 
     def best(w):
         if not w:
@@ -70,3 +71,41 @@ def test_frames(spark):
     assert got[2] == (None, None, None) and got[None] == ([], "", "")
     assert all(t == d for _, t, d in got.values())
     assert encode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_pieces_fit_as_merging_says():
+    v = Vocabulary(open(PATH, "rb").read())
+    rng = random.Random(4)
+    ids = [i for p, i in v.ids.items() if MARK * 2 not in p]
+    short = [i for i in ids if len(v.pieces[i]) < 4]
+    pairs = [(rng.choice(a), rng.choice(b)) for a, b in ((ids, ids), (short, short), (short, ids)) for _ in range(15_000)]
+    pairs += [(v.ids[p[:k]], v.ids[p[k:]]) for p in rng.sample(list(v.ids), 6000) for k in range(1, len(p)) if p[:k] in v.ids and p[k:] in v.ids]
+    for left, right in pairs:
+        both = v.pieces[left] + v.pieces[right]
+        if MARK not in both[1:]:
+            assert v.fits(left, right) == (v.merge(both) == [left, right]), both
+
+
+def test_query_against_the_library(library, spark):
+    import hashlib
+
+    from tidemark.llm.queries import op9_pieces
+
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op9_pieces(spark, d).collect()}
+    assert got.keys() == texts.keys()
+    for k, t in texts.items():
+        ids = library.encode(t or "")
+        assert got[k].n_pieces == len(ids) and got[k].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[k].round_trip == (library.decode(ids) == t)
+
+
+def test_encode_and_check(spark):
+    rows = [(1, "a b", 5), (1, "a b", 5), (2, None, 6), (3, "", 7), (4, "nul \x00 \ue000", 8)]
+    out = encode_and_check(spark.createDataFrame(rows, "doc_id long, text string, ids int"), PATH)
+    assert out.columns == ["doc_id", "ids", "round_trip"]
+    got = out.collect()
+    assert len(got) == 5 and {r.doc_id: r.ids for r in got}[2] is None and all(r.round_trip for r in got)
+    alone = encode_and_check(spark.createDataFrame([("x",), (None,)], "text string"), PATH)
+    assert alone.columns == ["ids", "round_trip"] and alone.count() == 2

@@ -14,12 +14,14 @@ meaning that merging the two pieces' characters gives back these two pieces
 
 Defined results: null text -> null ids; empty text -> no ids; characters
 outside the vocabulary become byte pieces, or the unknown id if the model has
-none; other columns are kept, input columns called ids or decoded are replaced.
+none; other columns are kept, input columns called ids, decoded or round_trip
+are replaced; repeated rows are coded each.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -30,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import CACHES, trimmed
+from .words import CACHES, slices, trimmed
 
 MARK = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
-#: Characters encoded at a time, and words remembered between these stretches.
-STRETCH_CHARS = 1_000_000
-REMEMBERED = 150_000
+#: Bytes of text encoded at a time, ids decoded at a time, and words remembered between these stretches.
+STRETCH_BYTES, STRETCH_IDS = 1_000_000, 200_000
+REMEMBERED = 60_000
 #: Compatible pairs and automaton steps remembered.
-PAIRS, STEPS = 200_000, 200_000
+PAIRS, STEPS = 200_000, 100_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -98,14 +100,19 @@ class Vocabulary:
         alone = "" if any("\n" in p for p in self.ids) else "\n"
         self.words = re.compile(f"{alone}|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" if alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.least = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
+        self.width = [len(p) for p in self.pieces] + [1]  # the last one is that of piece -1
         self._pairs: dict[int, bool] = {}
-        self._whole: dict[int, bool] = {}
         self._flat: tuple[np.ndarray, np.ndarray] | None = None
-        self._steps: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
+        self._nodes: dict[str, tuple] = {"": ({}, (), "")}
+        self._held = 0
+        self._spines: tuple[dict[int, tuple], dict[int, tuple]] = ({}, {})
 
     def merge(self, word: str) -> list[int]:
-        """Byte-pair merging by the definition: best score first, then leftmost; -1 is a character outside the vocabulary."""
-        part = list(word)
+        """Byte-pair merging by the definition: best score first, then leftmost; -1 is a character outside the vocabulary.
+
+        Leaves the merges in self._last, in their order: (start, middle, end).
+        """
+        part, self._last = list(word), []
         n = len(part)
         nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list[tuple[float, int, str, int]] = []
@@ -122,6 +129,7 @@ class Vocabulary:
             if not part[i] or nxt[i] != j or part[i] + part[j] != both:
                 continue
             part[i], part[j] = both, ""
+            self._last.append((i, j, i + len(both)))
             nxt[i] = nxt[j]
             if nxt[j] < n:
                 prev[nxt[j]] = i
@@ -129,80 +137,117 @@ class Vocabulary:
             offer(i)
         return [self.ids.get(p, -1) for p in part if p]
 
-    def whole(self, piece: int) -> bool:
-        found = self._whole.get(piece)
+    def spine(self, piece: int, side: int) -> tuple:
+        """What stands at one end of a piece while it is merged: (text, cost of the merge that ends it) from a character up to the piece.
+
+        side 0 is the left end, 1 the right one.  Empty if merging does not give the piece, or not in the order of costs.
+        """
+        found = self._spines[side].get(piece)
         if found is None:
-            found = self._whole[piece] = self.merge(self.pieces[piece]) == [piece]
+            text, found, top = self.pieces[piece], (), math.inf
+            own, ends = self.merge(text), []
+            if own == [piece]:
+                at = self._last  # the merges, in order: (start, middle, end)
+                ends = [m for m in at if (m[0] == 0 if side == 0 else m[2] == len(text))]
+                costs = [-self.scores[self.ids[text[m[0] : m[2]]]] for m in at]
+                if all(x <= y for x, y in zip(costs[:-1], costs[1:], strict=True)):
+                    for m in reversed(ends):
+                        found = (text[m[0] : m[2]], top, *found)
+                        top = -self.scores[self.ids[text[m[0] : m[2]]]]
+                    found = (text[0] if side == 0 else text[-1], top, *found)
+            self._spines[side][piece] = found
         return found
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether merging leaves the two pieces as they are."""
-        if left < 0:
-            return self.whole(right)
+        """Whether merging leaves the two pieces as they are; left is -1 at the start and after a character outside the vocabulary.
+
+        As long as costs only grow, the two pieces are merged inside unless the
+        two texts that meet at the border merge first: before both of the merges
+        that would end them, the left one of equal merges first.
+        """
         if len(self._pairs) > PAIRS:
             self._pairs.clear()
-        found = self._pairs[left << 20 | right] = self.merge(self.pieces[left] + self.pieces[right]) == [left, right]
+        a, b = self.spine(left, 1) if left >= 0 else (), self.spine(right, 0)
+        if left < 0 or not a or not b:
+            found = self.merge((self.pieces[left] if left >= 0 else "") + self.pieces[right]) == [left, right][left < 0 :]
+        else:
+            i = j = 0
+            while found := not ((k := self.ids.get(a[i] + b[j])) is not None and (cost := -self.scores[k]) < a[i + 1] and cost <= b[j + 1]):
+                if a[i + 1] <= b[j + 1]:
+                    if a[i + 1] == math.inf:
+                        break
+                    i += 2
+                else:
+                    j += 2
+        self._pairs[left << 20 | right] = found
         return found
 
-    def step(self, text: str) -> tuple[str, tuple[tuple[int, int], ...]]:
-        """The longest suffix of text that begins a piece, and the pieces (id, length) that end the text, longest first."""
-        state = text
+    def step(self, node: tuple, ch: str) -> tuple:
+        """The automaton's node after one more character: (known steps, pieces (id, length) that end here, longest first, text).
+
+        The text of a node is the longest suffix of what was read that begins a piece.
+        """
+        state = node[2] + ch
         while state not in self.prefixes:
             state = state[1:]
-        if len(self._steps) > STEPS:
-            self._steps.clear()
-        ends = tuple((self.ids[state[k:]], len(state) - k) for k in range(len(state)) if state[k:] in self.ids)
-        found = self._steps[text] = (state, ends)
+        found = self._nodes.get(state)
+        if found is None:
+            ends = tuple((self.ids[state[k:]], len(state) - k) for k in range(len(state)) if state[k:] in self.ids)
+            found = self._nodes[state] = ({}, ends, state)
+        self._held += 1
+        if self._held > STEPS:
+            self._held = 0
+            for other in self._nodes.values():
+                other[0].clear()
+        node[0][ch] = found
         return found
 
     def encode_sorted(self, words: list[str]) -> list[list[int]]:
         """Piece ids of sorted words; -1 stands for a character outside the vocabulary."""
-        bpe, scores, steps, pairs = self.bpe, self.scores, self._steps, self._pairs
-        # By length of the prefix: automaton state, last piece and its length, and the Viterbi score of a unigram model.
-        states, last, size, best = [""], [-2], [0], [0.0]
-        before, out = "", []
+        bpe, scores, pairs, width, step = self.bpe, self.scores, self._pairs, self.width, self.step
+        most = max(map(len, words), default=0) + 1
+        # By length of the prefix: automaton node, last piece, and the Viterbi score of a unigram model.
+        nodes, last, best = [self._nodes[""]] * most, [-1] * most, [0.0] * most
+        before, depth, out = "", 0, []
         for word in words:
             if bpe and MARK * 2 in word:  # equal scores of runs of marks
                 out.append(self.merge(word))
                 continue
-            shared, most = 0, min(len(word), len(before))
-            if word[:most] == before[:most]:
-                shared = most
+            shared, size = 0, len(word)
+            if before == word[:depth]:
+                shared = depth
             else:
-                while word[shared] == before[shared]:
+                for x, y in zip(word, before):  # noqa: B905  the shorter one ends it
+                    if x != y:
+                        break
                     shared += 1
-            del states[shared + 1 :], last[shared + 1 :], size[shared + 1 :], best[shared + 1 :]
-            state = states[shared]
-            for end in range(shared + 1, len(word) + 1):
-                key = state + word[end - 1]
-                found = steps.get(key)
-                if found is None:
-                    found = self.step(key)
-                state, ends = found
-                piece, width = -1, 1
+            node = nodes[shared]
+            for end in range(shared + 1, size + 1):
+                ch = word[end - 1]
+                node = node[0].get(ch) or step(node, ch)
+                piece = -1
                 if bpe:
-                    for k, n in ends:
+                    for k, n in node[1]:
                         left = last[end - n]
-                        ok = pairs.get(left << 20 | k) if left >= 0 else self.whole(k)
+                        ok = pairs.get(left << 20 | k)
                         if ok is None:
                             ok = self.fits(left, k)
                         if ok:
-                            piece, width = k, n
+                            piece = k
                             break
                 else:
                     score = best[end - 1] + self.least
-                    for k, n in ends:
+                    for k, n in node[1]:
                         if (value := best[end - n] + scores[k]) > score:
-                            piece, width, score = k, n, value
-                    best.append(score)
-                states.append(state)
-                last.append(piece)
-                size.append(width)
-            before = word
-            own, at = [], len(word)
+                            piece, score = k, value
+                    best[end] = score
+                nodes[end] = node
+                last[end] = piece
+            before, depth = word, size
+            own, at = [], size
             while at:
                 own.append(last[at])
-                at -= size[at]
+                at -= width[last[at]]
             own.reverse()
             out.append(own)
         return out
@@ -306,29 +351,30 @@ class Encoder:
 CACHES["pieces"] = Encoder._cache
 
 
-def _stretches(texts: list[str | None]) -> Iterator[list[str | None]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t or "")
-        if size >= STRETCH_CHARS:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def _encoded(encoder: Encoder, texts: list[str | None]) -> pa.ListArray:
+    counts, ids = encoder.encode(texts)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
+    return pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+
+
+def _decoded(encoder: Encoder, column: pa.ListArray) -> Iterator[list[str | None]]:
+    """Texts of a column of ids, about STRETCH_IDS ids at a time and at least one row."""
+    at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    null, k = column.is_null().to_pylist(), 0
+    while k < len(column):
+        end = k + 1
+        while end < len(column) and at[end + 1] - at[k] <= STRETCH_IDS:
+            end += 1
+        found = encoder.decode_all(values[at[k] : at[end]], at[k : end + 1] - at[k])
+        yield [None if n else t for n, t in zip(null[k:end], found, strict=True)]
+        k = end
 
 
 def _encode(model):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.cached(model.value)
-        for batch in batches:
-            done = 0
-            for part in _stretches(batch.column("row").field("text").to_pylist()):
-                counts, ids = encoder.encode(part)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), mask=np.array([t is None for t in part] + [False]))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(done, len(part)), lists], ["row", "ids"])
-                done += len(part)
+        for batch in slices(batches, most=STRETCH_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), _encoded(encoder, batch.column("text").to_pylist())], ["row", "text", "ids"])
 
     return f
 
@@ -337,17 +383,23 @@ def _decode(model):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.cached(model.value)
         for batch in batches:
-            column = batch.column("row").field("ids")
-            at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-            null, out, k = column.is_null().to_pylist(), [], 0
-            while k < len(column):
-                end = k + 1
-                while end < len(column) and at[end + 1] - at[k] <= STRETCH_CHARS:
-                    end += 1
-                out += encoder.decode_all(values[at[k] : at[end]], at[k : end + 1] - at[k])
-                k = end
-            out = [None if n else t for n, t in zip(null, out, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "decoded"])
+            at = 0
+            for out in _decoded(encoder, batch.column("row").field("ids")):
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, len(out)), pa.array(out, pa.string())], ["row", "decoded"])
+                at += len(out)
+
+    return f
+
+
+def _both(model):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.cached(model.value)
+        for batch in slices(batches, most=STRETCH_BYTES):
+            texts = batch.column("text").to_pylist()
+            ids = _encoded(encoder, texts)
+            back = [t for part in _decoded(encoder, ids) for t in part]
+            same = [x == y for x, y in zip(texts, back, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), ids, pa.array(same, pa.bool_())], ["row", "ids", "round_trip"])
 
     return f
 
@@ -357,12 +409,17 @@ def _model(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _rows(docs: DataFrame, *added: str) -> DataFrame:
+    """row (all columns but text and the added ones) and text; a place is held where no column is left."""
+    own = [c for c in docs.columns if c not in ("text", *added)]
+    return docs.select(F.struct(*own) if own else F.struct(F.lit(0).alias("none")), F.col("text").cast("string")).toDF("row", "text")
+
+
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """docs (text, ...) -> the same columns and ids array<int>."""
-    own = [c for c in docs.columns if c != "ids"]
-    rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*own).alias("row"))
-    out = rows.mapInArrow(trimmed(_encode(_model(docs, model_path)), "pieces"), f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
-    return out.select("row.*", "ids")
+    rows = _rows(docs, "ids")
+    out = rows.mapInArrow(trimmed(_encode(_model(docs, model_path)), "pieces"), f"row {rows.schema['row'].dataType.simpleString()}, text string, ids array<int>")
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "ids"), "ids")
 
 
 def decode(pieces: DataFrame, model_path: str) -> DataFrame:
@@ -371,3 +428,15 @@ def decode(pieces: DataFrame, model_path: str) -> DataFrame:
     rows = pieces.select(F.struct(*own, F.col("ids")).alias("row"))
     out = rows.mapInArrow(trimmed(_decode(_model(pieces, model_path)), "pieces"), f"row {rows.schema['row'].dataType.simpleString()}, decoded string")
     return out.select("row.*", "decoded")
+
+
+def encode_and_check(docs: DataFrame, model_path: str) -> DataFrame:
+    """docs (text, ...) -> the other columns, ids array<int>, and round_trip: whether the decoded ids are the text.
+
+    One worker encodes and decodes, and no text goes back to the JVM.  A null
+    text has null ids, which decode to null: its round trip is true.
+    """
+    rows = _rows(docs, "ids", "round_trip")
+    kind = f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, round_trip boolean"
+    out = rows.mapInArrow(trimmed(_both(_model(docs, model_path)), "pieces"), kind)
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "ids", "round_trip")), "ids", "round_trip")
