@@ -17,11 +17,16 @@ def test_fm_index_counts_patterns():
     seqs = [rng.integers(1, 6, rng.integers(13, 40)) for _ in range(50)]
     text = np.concatenate([np.append(s, 0) for s in seqs]).astype(np.int32)
     at = np.flatnonzero([i + 5 <= text.size and (text[i : i + 5] > 0).all() for i in range(text.size)])
-    low, high = FMIndex(text, 13).search(text, at, 5)
+    owner = rng.integers(0, 9, text.size)
+    index = FMIndex(text, 13, owner)
+    low, high = index.search(text, at, 5)
+    least = index.least(low, high)
     rows = [tuple(text[i : i + 5]) for i in at]
     for k, r in enumerate(rows):
         n = rows.count(r)
         assert high[k] - low[k] == n or (n == 1 and high[k] - low[k] == 1)
+        if n > 1:
+            assert least[k] == min(owner[a] for a, r2 in zip(at, rows, strict=True) if r2 == r)
 
 
 def test_against_brute_force(spark):
@@ -61,3 +66,37 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, text, "x", 1), (1, text, "y", 2), (None, text, "z", 3), (2, text, None, 4)], "doc_id long, text string, tx string, n_words int")
     rows = {r.tx: (r.doc_id, r.n_words, r.n_removed) for r in remove_repeats(df, 50).collect()}
     assert rows == {"x": (1, 60, 0), "y": (1, 60, 0), "z": (None, 60, 0), None: (2, 60, 60)}
+
+
+def test_wide_anchors_are_taken_apart(spark, monkeypatch):
+    import tidemark.llm.repeats as m
+
+    rng = random.Random(6)
+    run_ = "in the end it was all the same to".split()
+    rows = []
+    for i in range(120):
+        left, right = ([f"v{rng.randrange(3)}" for _ in range(5)] for _ in range(2))
+        rows.append((i, " ".join([f"own{i}", *left, *run_, *right, f"own{i}"])))
+    asked = []
+    plain = m._shared_segments
+    monkeypatch.setattr(m, "BLOCK_SYMBOLS", 100)
+    monkeypatch.setattr(m, "_shared_segments", lambda length, run, bloom, hot=None: asked.append(hot) or plain(length, run, bloom, hot))
+    assert run(spark, rows, 13) == brute(rows, 13)
+    assert any(hot is not None for hot in asked)
+
+
+def test_very_long_text(spark):
+    words = [f"w{i % 70_001}" for i in range(300_000)]
+    rows = [(1, " ".join(words[:100_000])), (2, " ".join(words)), (3, "x" * 2_000_000)]
+    assert run(spark, rows, 13) == brute(rows, 13)
+
+
+def test_query_against_brute_force(spark):
+    import hashlib
+
+    from tidemark.llm.queries import op10_repeats
+
+    d = "/root/testdata/sf0.001"
+    want = brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()], 13)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op10_repeats(spark, d).collect()}
+    assert got == {i: (n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, (n, gone, kept) in want.items()}

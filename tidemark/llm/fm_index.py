@@ -46,10 +46,12 @@ class FMIndex:
     """Index of word sequences; ``text`` holds symbols from 1 up, and 0 after each sequence.
 
     Suffixes are sorted by their first ``depth`` symbols, which is all that
-    patterns of up to ``depth`` symbols need.
+    patterns of up to ``depth`` symbols need.  What stays of the order of
+    suffixes is the owner of each (``owner``, by position), so that an interval
+    of suffixes tells its smallest owner without their positions.
     """
 
-    def __init__(self, text: np.ndarray, depth: int) -> None:
+    def __init__(self, text: np.ndarray, depth: int, owner: np.ndarray) -> None:
         n = text.size
         rank, width = text.astype(np.int64), 1
         order = np.argsort(rank)
@@ -62,7 +64,7 @@ class FMIndex:
             rank = np.empty(n, np.int64)
             rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
             width *= 2
-        self.order = order
+        self.owner = owner[order]
         sigma = int(text.max()) + 1
         self.bwt = WaveletMatrix(text[order - 1], sigma)
         self.start = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))
@@ -82,3 +84,12 @@ class FMIndex:
             if not live.size:
                 break
         return low, high
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The smallest owner of each interval; none may be empty.  Equal intervals are looked at once."""
+        if not low.size:
+            return np.zeros(0, self.owner.dtype)
+        lows, first, back = np.unique(low * (self.owner.size + 1) + high, return_index=True, return_inverse=True)
+        ends = np.stack((low[first], high[first]), axis=1).ravel()
+        held = np.concatenate((self.owner, self.owner[-1:]))
+        return np.minimum.reduceat(held, ends)[::2][back]

@@ -5,10 +5,14 @@ per shard.  So that no shard has to see all documents, text is routed by
 content: the smallest hash of a shorter word run inside a window (its anchor)
 names the shard, and neighbouring windows with one anchor travel as one
 segment.  Equal windows have equal anchors, so they meet in one shard; there
-backward search over the wavelet matrix gives each window's interval of
-suffixes, and the smallest document in that interval is its first home.
+each distinct segment is indexed and streamed once: backward search over the
+wavelet matrix gives each of its windows an interval of suffixes, and the
+smallest document in that interval is the window's home.  A document loses the
+windows whose home is a smaller document, which is looked up by segment.
 Anchors that only one document has are left out by a Bloom filter of fixed
-size; its false positives only cost time, since the index decides.
+size; its false positives only cost time, since the index decides.  An anchor
+with more segments than one index holds is taken apart: its windows become
+segments of their own, each routed by its own hash.
 
 Defined results: null text has no words; fewer words than a window lose
 nothing; a null doc_id neither removes nor loses words; repeated rows of one
@@ -18,6 +22,7 @@ kept_text are replaced, all others are kept as they are.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +38,8 @@ from .words import as_bytes, mix64, sequence_hashes, slices, tables, trimmed
 BLOOM_BITS = 1 << 26
 #: Symbols of one FM-index; a shard makes several, each of whole anchors.
 BLOCK_SYMBOLS = 1 << 20
+#: Anchors that are taken apart, those with the most segments first (8 bytes each are broadcast); any others stay whole.
+MOST_WIDE = 1_000_000
 #: Ids of documents that lose words up to this count are broadcast (8 bytes each); beyond it all texts are joined.
 BROADCAST_IDS = 500_000
 ADDED = ("n_words", "n_removed", "kept_text")
@@ -87,7 +94,9 @@ def _bloom(anchors: DataFrame) -> np.ndarray:
     return words
 
 
-def _shared_segments(length: int, run: int, bloom):
+def _shared_segments(length: int, run: int, bloom, hot=None):
+    """Segments whose anchor passes the filter; with ``hot``, only the windows of these anchors, each as a segment of its own."""
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
         for batch in slices(batches):
@@ -98,12 +107,15 @@ def _shared_segments(length: int, run: int, bloom):
                 start, count, anchor = segments(words, length, run)
                 if not start.size:
                     continue
-                keep = np.ones(start.size, bool)
+                keep = np.ones(start.size, bool) if hot is None else np.isin(anchor.view(np.int64), hot.value)
                 for p in _probes(anchor):
                     keep &= (bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) != 0
                 if not keep.any():
                     continue
                 start, count, anchor = start[keep], count[keep], anchor[keep]
+                if hot is not None:
+                    start = np.repeat(start, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                    count, anchor = np.ones(start.size, np.int64), sequence_hashes(words, length)[start]
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(words) * np.arange(1, words.size + 1, dtype=np.uint64))))
                 plain = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(words))))
                 end = start + count + length - 1
@@ -117,17 +129,21 @@ def _shared_segments(length: int, run: int, bloom):
             anchor, key, doc, text_key, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
             # One row of a batch carries the words of each distinct segment, with the smallest document of the batch.
             order = np.lexsort((doc, key, anchor))
-            new = np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (key[order][1:] != key[order][:-1])))
             carrier = np.zeros(doc.size, bool)
-            carrier[order[new]] = True
+            carrier[order[_first(anchor[order], key[order])]] = True
             seg = pa.array([t if c else None for t, c in zip(texts, carrier.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key), pa.array(doc), pa.array(text_key), pa.array(start), pa.array(count), seg], ["anchor", "key", "doc", "tx", "start", "count", "seg"])
 
     return f
 
 
-def first_homes(segs: list[bytes], doc: np.ndarray, length: int) -> np.ndarray:
-    """For each segment a bit mask of its windows that a document before ``doc`` has too."""
+def _first(anchor: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where a new (anchor, key) begins in sorted rows."""
+    return np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])))[: anchor.size]
+
+
+def first_homes(segs: list[bytes], doc: np.ndarray, length: int) -> list[np.ndarray | None]:
+    """For each segment the smallest document of each of its windows; None if all are the segment's own document."""
     words = [w for _, _, _, w in tables(segs, False)]
     size = np.array([w.size for w in words])
     ids = np.unique(np.concatenate(words), return_inverse=True)[1] + 1
@@ -135,59 +151,51 @@ def first_homes(segs: list[bytes], doc: np.ndarray, length: int) -> np.ndarray:
     offset = np.cumsum(size + 1) - size - 1
     of = np.repeat(np.arange(size.size), size)
     text[np.arange(ids.size) + of] = ids
-    owner = np.repeat(np.arange(size.size), size + 1)
+    docs, rank = np.unique(doc, return_inverse=True)
+    index = FMIndex(text, length, np.repeat(rank.astype(np.int32), size + 1))
     windows = size - length + 1
     seg = np.repeat(np.arange(size.size), windows)
-    within = np.arange(seg.size) - np.repeat(np.cumsum(windows) - windows, windows)
-    index = FMIndex(text, length)
-    low, high = index.search(text, offset[seg] + within, length)
+    start = np.cumsum(windows) - windows
+    low, high = index.search(text, offset[seg] + np.arange(seg.size) - start[seg], length)
     found = np.flatnonzero(high - low > 1)
-    mask = np.zeros(size.size, np.int64)
-    if found.size:
-        lows, back = np.unique(low[found], return_inverse=True)
-        highs = np.zeros(lows.size, np.int64)
-        highs[back] = high[found]
-        home = np.concatenate((doc[owner[index.order]], [np.iinfo(np.int64).max]))
-        least = np.minimum.reduceat(home, np.stack((lows, highs), axis=1).ravel())[::2]
-        earlier = least[back] < doc[seg[found]]
-        np.bitwise_or.at(mask, seg[found][earlier], np.int64(1) << within[found][earlier])
-    return mask
+    home = rank[seg].astype(np.int32)
+    home[found] = index.least(low[found], high[found])
+    other = np.zeros(size.size, bool)
+    other[seg[home != rank[seg]]] = True
+    return [docs[home[a : a + n]] if o else None for a, n, o in zip(start.tolist(), windows.tolist(), other.tolist(), strict=True)]
 
 
 def _indexed(length: int):
+    """Carriers in order of anchor and key -> the homes of each distinct segment, by indexes of whole anchors."""
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(rows):
-            anchor, key, doc, seg = rows
-            new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1]))))
-            anchor, key, low = anchor[new], key[new], np.minimum.reduceat(doc, new)
-            mask = first_homes([seg[i] for i in new.tolist()], low, length)
-            return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key), pa.array(low), pa.array(mask)], ["anchor", "key", "low", "mask"])
-
-        held, symbols = [[], [], [], []], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            anchor, key, doc = (batch.column(c).to_numpy() for c in ("anchor", "key", "doc"))
-            seg = batch.column("seg").to_pylist()
-            at = 0
-            step = max(1, BLOCK_SYMBOLS // (2 * length))
-            while at < anchor.size:
-                end = min(at + step, anchor.size)
-                for x, y in zip(held, (anchor[at:end], key[at:end], doc[at:end], seg[at:end]), strict=True):
-                    x.append(y)
-                symbols += (end - at) * 2 * length
-                at = end
-                if symbols >= BLOCK_SYMBOLS:
-                    a, k, d = (np.concatenate(x) for x in held[:3])
-                    s = [y for x in held[3] for y in x]
-                    cut = int(np.searchsorted(a, a[-1], "left"))
+        def solve(anchor, key, low, seg):
+            homes = first_homes(seg, low, length)
+            return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key), pa.array(low), pa.array(homes, pa.list_(pa.int64()))], ["anchor", "key", "low", "homes"])
+
+        anchor, key, low, seg = [], [], [], []
+        symbols, most = 0, BLOCK_SYMBOLS
+        for whole in batches:
+            for batch in slices([whole], "seg", BLOCK_SYMBOLS):
+                a, k, d = (batch.column(c).to_numpy() for c in ("anchor", "key", "doc"))
+                new = np.flatnonzero(_first(a, k))
+                least, text = np.minimum.reduceat(d, new).tolist(), batch.column("seg").take(pa.array(new)).to_pylist()
+                a, k = a[new].tolist(), k[new].tolist()
+                if key and (anchor[-1], key[-1]) == (a[0], k[0]):
+                    low[-1] = min(low[-1], least[0])
+                    a, k, least, text = a[1:], k[1:], least[1:], text[1:]
+                for x, y in ((anchor, a), (key, k), (low, least), (seg, text)):
+                    x.extend(y)
+                symbols += sum(x.count(b" ") + 2 for x in text)
+                if symbols >= most:
+                    cut = bisect_left(anchor, anchor[-1])
                     if cut:
-                        yield solve((a[:cut], k[:cut], d[:cut], s[:cut]))
-                        held, symbols = [[a[cut:]], [k[cut:]], [d[cut:]], [s[cut:]]], (a.size - cut) * 2 * length
-                    else:
-                        held = [[a], [k], [d], [s]]
-        if symbols:
-            yield solve((*(np.concatenate(x) for x in held[:3]), [y for x in held[3] for y in x]))
+                        yield solve(anchor[:cut], key[:cut], np.array(low[:cut]), seg[:cut])
+                        anchor, key, low, seg = anchor[cut:], key[cut:], low[cut:], seg[cut:]
+                        symbols = sum(x.count(b" ") + 2 for x in seg)
+                    most = max(BLOCK_SYMBOLS, 2 * symbols)  # an anchor beyond a block is looked at again when it has doubled
+        if key:
+            yield solve(anchor, key, np.array(low), seg)
 
     return f
 
@@ -196,7 +204,7 @@ def _cut(length: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, kept = [], [], []
-            for raw, found in zip(as_bytes(batch.column("text")), batch.column("found").to_pylist(), strict=True):
+            for raw, doc, found in zip(as_bytes(batch.column("text")), batch.column("__doc").to_pylist(), batch.column("found").to_pylist(), strict=True):
                 words = (raw or b"").split()
                 total.append(len(words))
                 if not found:
@@ -204,15 +212,15 @@ def _cut(length: int):
                     kept.append(b" ".join(words).decode())
                     continue
                 edge = np.zeros(len(words) + 1, np.int32)
-                start, count, mask = np.array([(x["start"], x["count"], x["mask"]) for x in found]).T
-                whole = mask == -1
-                np.add.at(edge, start[whole], 1)
-                np.add.at(edge, start[whole] + count[whole] + length - 1, -1)
-                for s, m in zip(start[~whole].tolist(), mask[~whole].tolist(), strict=True):
-                    for b in range(m.bit_length()):
-                        if m >> b & 1:
-                            edge[s + b] += 1
-                            edge[s + b + length] -= 1
+                for x in found:
+                    at = x["start"]
+                    if x["homes"] is None:  # every window
+                        edge[at] += 1
+                        edge[at + x["count"] + length - 1] -= 1
+                    else:
+                        at = at + np.flatnonzero(np.array(x["homes"]) < doc)
+                        edge[at] += 1
+                        np.add.at(edge, at + length, -1)
                 stay = np.cumsum(edge)[:-1] == 0
                 gone.append(int(stay.size - np.count_nonzero(stay)))
                 kept.append(b" ".join([words[i] for i in np.flatnonzero(stay).tolist()]).decode())
@@ -239,12 +247,18 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     found = plain.withColumn("tx", _text_key()).mapInArrow(
         trimmed(_shared_segments(length, run, bloom)), "anchor long, key long, doc long, tx long, start long, count long, seg binary")
     found = staged(found, "segments")
+    wide = found.where("seg is not null").groupBy("anchor").agg(F.approx_count_distinct("key").alias("n")).where(F.col("n") > BLOCK_SYMBOLS // (2 * length))
+    wide = sorted(r.anchor for r in wide.orderBy(F.desc("n"), "anchor").limit(MOST_WIDE).collect())
+    if wide:
+        apart = plain.withColumn("tx", _text_key()).mapInArrow(trimmed(_shared_segments(length, run, bloom, spark.sparkContext.broadcast(np.array(wide)))), found.schema.simpleString()[7:-1].replace(":", " "))
+        few = F.broadcast(spark.createDataFrame([(x,) for x in wide], "anchor long"))
+        found = found.join(few, "anchor", "left_anti").unionByName(staged(apart, "windows"))
     carriers = found.where("seg is not null").select("anchor", "key", "doc", "seg")
-    homes = carriers.repartition("anchor").sortWithinPartitions("anchor", "key").mapInArrow(trimmed(_indexed(length)), "anchor long, key long, low long, mask long")
+    homes = carriers.repartition("anchor").sortWithinPartitions("anchor", "key").mapInArrow(trimmed(_indexed(length)), "anchor long, key long, low long, homes array<long>")
     hits = found.select("anchor", "key", "doc", "tx", "start", "count").join(homes, ["anchor", "key"])
-    # -1: every window of the segment; the smallest document with a segment is judged by the mask alone.
-    hits = hits.withColumn("mask", F.when(F.col("doc") > F.col("low"), F.lit(-1)).otherwise(F.col("mask"))).where("mask <> 0")
-    hits = hits.groupBy(F.col("doc").alias("__doc"), F.col("tx").alias("__tx")).agg(F.collect_list(F.struct("start", "count", "mask")).alias("found"))
+    # Without homes, all windows of the segment have the segment's smallest document.
+    hits = hits.where((F.col("homes").isNull() & (F.col("low") < F.col("doc"))) | F.exists("homes", lambda h: h < F.col("doc")))
+    hits = hits.groupBy(F.col("doc").alias("__doc"), F.col("tx").alias("__tx")).agg(F.collect_list(F.struct("start", "count", "homes")).alias("found"))
     hits = staged(hits, "hits")
     own = [c for c in docs.columns if c not in (*ADDED, "text")]
     rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("__doc"), F.col("text").cast("string").alias("text"))
@@ -257,7 +271,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     else:
         clean = None
     joined = rows.withColumn("__tx", _text_key()).join(hits, ["__doc", "__tx"], "left")
-    cut = [x.select("row", "text", "found").mapInArrow(trimmed(_cut(length)), kind) for x in (joined, clean) if x is not None]
+    cut = [x.select("row", "__doc", "text", "found").mapInArrow(trimmed(_cut(length)), kind) for x in (joined, clean) if x is not None]
     out = cut[0] if len(cut) == 1 else cut[0].unionByName(cut[1])
     back = {c: F.col("text").cast(docs.schema["text"].dataType).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ADDED}
     return out.select(*back.values(), *ADDED)
