@@ -10,7 +10,7 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.near_text import near_duplicates
 from tidemark.llm.queries import TOKENIZERS
 from tidemark.llm.repeats import remove_repeats
-from tidemark.llm.sentencepiece import decode, encode
+from tidemark.llm.sentencepiece import encode_and_check
 from tidemark.llm.store import staged
 
 #: Words of a passage that is removed where it repeats.
@@ -28,7 +28,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8) stays: the one with the smallest doc_id, once."""
+    """One document of each group of near duplicates (five words, 0.8) stays: the one with the smallest doc_id.
+
+    Of several rows with that doc_id one stays, the first by text, lang, source and n_chars; rows without a doc_id all stay.
+    """
     marks = near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
     gone = staged(marks.where(~F.col("kept")).select("doc_id").distinct(), "gone")
     kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
@@ -37,7 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not n:
         return kept
     again = F.broadcast(again) if n <= BROADCAST_IDS else again
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    order = F.struct(*(F.col(c).cast("string") for c in ("text", "lang", "source", "n_chars")))
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
@@ -58,9 +62,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they give the text back."""
-    out = decode(encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model"), f"{TOKENIZERS}/piece_bpe_32k.model")
-    back = F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")
-    return out.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "ids", back)
+    out = encode_and_check(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return out.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
 
 
 STAGES = [
