@@ -191,7 +191,7 @@ def rules(tables, version="v"):
 
 def test_each_mutation_breaks_its_rule(tables):
     trials, records, check = rules(tables)
-    assert check(trials, records) == ([], [])
+    assert check(trials, records) == ([], ["I5.trials"])
     one = trials.agg(F.min("tid")).first()[0]
     many = trial(tables, "ABC-1").tid
     on = lambda tid, c, v: trials.withColumn(c, F.when(F.col("tid") == tid, v).otherwise(F.col(c)))
@@ -201,7 +201,7 @@ def test_each_mutation_breaks_its_rule(tables):
     assert check(on(many, "cohort_count", F.lit(9)), records)[0] == ["I4.cohort"]
     assert check(on(many, "record_ids", F.reverse("record_ids")), records)[0] == ["I5.records"]
     assert check(on(many, "latest_cohort", F.reverse("latest_cohort")), records)[0] == ["I5.cohort"]
-    assert check(on(one, "key", F.lit("P:other")), records)[0] == ["I5.trials"]
+    assert check(on(one, "key", F.lit("P:other")), records)[0] == ["identity"]
     assert "I3.orphan" in check(trials, records.where(F.col("tid") != one))[0]
     assert "I3.owner" in check(on(many, "record_ids", F.concat("record_ids", F.slice("record_ids", 1, 1))), records)[0]
     assert "I3.subset" in check(on(many, "latest_cohort", F.array(F.lit("x"), F.lit("y"), F.lit("z"))), records)[0]
@@ -297,3 +297,68 @@ def test_stream_of_snapshots(spark, tmp_path):
 def test_cohort_ties_and_future(spark):
     df = spark.createDataFrame([(1, "a", dt.date(2024, 1, 1)), (2, "a", dt.date(2024, 1, 2)), (3, "a", dt.date(2024, 1, 2)), (4, "b", None), (5, "b", None), (6, None, None)], "rid int, e string, day date")
     assert sorted(r.rid for r in converge.latest_cohort(df, "e", F.col("day")).where("in_cohort").collect()) == [2, 3, 4, 5, 6]
+
+
+def test_stored_order_and_claims(spark, tmp_path):
+    where = str(tmp_path / "t")
+    spark.createDataFrame([("a",), ("c",), ("b",), ("d",)], "tid string").coalesce(1).write.parquet(where)
+    assert [r.tid for r in integrity.out_of_order_in_files(spark.read.parquet(where), "tid").collect()] == ["b"]
+    root = pub.local_path(str(tmp_path / "site"))
+    assert pub.verify_published(spark, root) == ([], ["I7.artifactDigest", "I7.datasetVersion"])
+    version, _ = pub.publish(spark, root, {"t": spark.range(5)})
+    assert pub.verify_published(spark, root) == ([], [])
+    spark.range(6).write.mode("overwrite").parquet(f"{root}/version={version}/t")
+    assert pub.verify_published(spark, root)[0] == ["I7.artifactDigest", "I7.datasetVersion"]
+
+
+@pytest.mark.parametrize("step", ["_write", "_promote", "table_digest"])
+def test_a_crash_at_any_step_keeps_what_is_published(spark, tmp_path, monkeypatch, step):
+    root = pub.local_path(str(tmp_path / "site"))
+    version, _ = pub.publish(spark, root, {"t": spark.range(3)})
+    plain, calls = getattr(pub, step), []
+
+    def crash(*a, **k):
+        calls.append(a)
+        if step == "table_digest" and len(calls) == 1:  # the digest of what was read back fails, not that of the input
+            return plain(*a, **k)
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as m:
+        m.setattr(pub, step, crash)
+        with pytest.raises(SnapshotError) as e:
+            pub.publish(spark, root, {"t": spark.range(4)})
+    assert e.value.code.value == "PROMOTION_FAILED"
+    assert pub.read_manifest(spark, root)["datasetVersion"] == version and pub.read_table(spark, root, "t").count() == 3
+    assert pub.publish(spark, root, {"t": spark.range(4)})[1] and pub.read_table(spark, root, "t").count() == 4
+    # an older version may be published again; its tables are not written anew
+    assert pub.publish(spark, root, {"t": spark.range(3)}) == (version, True) and pub.read_table(spark, root, "t").count() == 3
+
+
+def test_a_taken_pointer_is_a_moved_baseline(spark, tmp_path, monkeypatch):
+    root = pub.local_path(str(tmp_path / "site"))
+    pub.publish(spark, root, {"t": spark.range(3)})
+    plain = pub._promote
+
+    def late(spark, root, manifest, number):
+        plain(spark, root, {**manifest, "datasetVersion": "f" * 16}, number)  # another publication takes the number
+        plain(spark, root, manifest, number)
+
+    monkeypatch.setattr(pub, "_promote", late)
+    with pytest.raises(SnapshotError) as e:
+        pub.publish(spark, root, {"t": spark.range(4)})
+    assert e.value.code.value == "BASELINE_MOVED" and pub.read_manifest(spark, root)["datasetVersion"] == "f" * 16
+
+
+def test_search_without_terms_finds_nothing(spark):
+    rows = spark.createDataFrame([("r1", "t1", None, {"a": "x"})], "r string, t string, d date, f map<string,string>")
+    assert search.search_scope({}, rows, [], ("short", "latest")).count() == 0
+    with pytest.raises(SnapshotError):
+        search.search_scope({}, rows, ["x"], ("short", "latest"), trials=spark.createDataFrame([("t2",)], "tid string"))
+
+
+def test_special_enrolment(spark):
+    rows = spark.createDataFrame([(1, 5, 12, False), (2, None, None, False), (3, 5, 5, True), (4, 0, 0, None)], "id int, lo int, hi int, conflict boolean")
+    labels = facets.bucket_labels(F.col("conflict"), F.col("lo"), F.col("hi"))
+    assert {r.id: r.l for r in rows.select("id", labels.alias("l")).collect()} == {1: ["1-10", "11-30"], 2: ["__unprovided__"], 3: ["__conflicted__"], 4: ["0"]}
+    counted = {r.bucket: r["count"] for r in facets.bucket_counts(rows, F.col("lo"), F.col("hi"), conflict=F.col("conflict")).collect()}
+    assert counted == {"1-10": 1, "11-30": 1, "__unprovided__": 1, "__conflicted__": 1, "0": 1}

@@ -96,3 +96,10 @@ def test_taipei_day():
     utc = dt.timezone.utc
     assert parse.build_date_of(dt.datetime(2024, 1, 1, 15, 59, tzinfo=utc)) == dt.date(2024, 1, 1)
     assert parse.build_date_of(dt.datetime(2024, 1, 1, 16, 0, tzinfo=utc)) == dt.date(2024, 1, 2)
+
+
+def test_digits_of_other_scripts(spark):
+    df = spark.createDataFrame([("\u0664\u0662", "\u0662\u0660\u0662\u0664/\u0660\u0663/\u0660\u0669"), ("\U000104a1-\u0967\u0968", "2024/02/30")], "n string, d string")
+    n = parse.parse_numeric(F.col("n"))["typed"]
+    got = df.select(n["lo"].alias("lo"), n["hi"].alias("hi"), parse.calendar_date(F.col("d")).cast("string").alias("d")).collect()
+    assert [(r.lo, r.hi, r.d) for r in got] == [(42, 42, "2024-03-09"), (1, 12, None)]

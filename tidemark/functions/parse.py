@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans.spec import MAX_INT, SnapshotSpec
-from .text import PY_SPACE, conflict_text, nfkc, strip
+from .text import PY_SPACE, conflict_text, nfkc, plain_digits, strip
 
 TYPED = "struct<kind:string,str:string,lo:bigint,hi:bigint,dt:date>"
 SEPARATOR = "\x1f"
@@ -49,7 +49,7 @@ def _digits(c: Column) -> Column:
 
 def _norm(raw: Column, norm: Column | None) -> Column:
     """norm is nfkc(raw) where the caller has it as a column already: one round trip to Python serves all uses."""
-    return nfkc(raw) if norm is None else norm
+    return plain_digits(nfkc(raw) if norm is None else norm)
 
 
 def parse_numeric(raw: Column, norm: Column | None = None) -> Column:

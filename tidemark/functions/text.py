@@ -62,6 +62,16 @@ def loose_key(c: Column) -> Column:
     return F.upper(F.regexp_replace(nfkc(c), "[^0-9A-Za-z]", ""))
 
 
+#: Decimal digits of all scripts, by the character database of Python, and the ASCII digit of each.
+DIGITS = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Nd"]
+ASCII_DIGITS = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
+
+
+def plain_digits(c: Column) -> Column:
+    """Decimal digits of any script as ASCII digits; only text beyond ASCII is translated."""
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.translate(c, "".join(DIGITS), ASCII_DIGITS))
+
+
 def conflict_text(c: Column) -> Column:
     """NFKC without any white space."""
     return F.regexp_replace(nfkc(c), rf"[{PY_SPACE}]+", "")

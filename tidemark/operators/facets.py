@@ -37,8 +37,13 @@ def buckets_of(low: Column, high: Column, buckets=ENROLL_BUCKETS) -> Column:
     return F.array_compact(F.array(*hits))
 
 
-def bucket_counts(entities: DataFrame, low: Column, high: Column, buckets=ENROLL_BUCKETS) -> DataFrame:
-    """bucket, count: an entity counts in each bucket it overlaps, or as unprovided."""
-    found = buckets_of(low, high, buckets)
-    labels = F.when(low.isNull() | high.isNull(), F.array(F.lit(UNPROVIDED))).otherwise(found)
+def bucket_labels(conflict: Column, low: Column, high: Column, buckets=ENROLL_BUCKETS) -> Column:
+    """What an entity counts as and is filtered by: conflicted alone, else unprovided alone without an interval, else its buckets."""
+    special = F.when(F.coalesce(conflict, F.lit(False)), F.lit(CONFLICTED)).when(low.isNull() | high.isNull(), F.lit(UNPROVIDED))
+    return F.when(special.isNotNull(), F.array(special)).otherwise(buckets_of(low, high, buckets))
+
+
+def bucket_counts(entities: DataFrame, low: Column, high: Column, buckets=ENROLL_BUCKETS, conflict: Column | None = None) -> DataFrame:
+    """bucket, count: an entity counts in each bucket it overlaps, or as conflicted or unprovided."""
+    labels = bucket_labels(F.lit(False) if conflict is None else conflict, low, high, buckets)
     return entities.select(F.explode(labels).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("count"))

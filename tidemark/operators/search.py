@@ -23,12 +23,12 @@ def parse_query(q: str) -> list[str]:
 
 def matches(fields: list[Column], terms: list[str]) -> Column:
     """All terms, each in any field; plain substrings, so % and _ mean themselves."""
-    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [F.coalesce(f.contains(t), F.lit(False)) for f in fields]) for t in terms])
+    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [F.coalesce(f.contains(t), F.lit(False)) for f in fields]) for t in terms], F.lit(bool(terms)))
 
 
 def hit_fields(fields: dict[str, Column], terms: list[str]) -> Column:
     """Names of all fields that hold any term, in order."""
-    any_ = lambda f: reduce(lambda a, b: a | b, [F.coalesce(f.contains(t), F.lit(False)) for t in terms])
+    any_ = lambda f: reduce(lambda a, b: a | b, [F.coalesce(f.contains(t), F.lit(False)) for t in terms], F.lit(False))
     return F.array_compact(F.array(*(F.when(any_(f), F.lit(n)) for n, f in fields.items())))
 
 
@@ -60,8 +60,19 @@ def _holds(term: str):
     return lambda x: x.contains(term)
 
 
-def search_scope(tables: dict[str, DataFrame], index: DataFrame, terms: list[str], scope: tuple[str, str], cross_group: bool = False) -> DataFrame:
-    """Hits of a scope.
+def folded(entries: DataFrame, fields: dict[str, Column], *keep: str) -> DataFrame:
+    """keep and the given fields, each computed once a row however many terms and conditions ask for it.
+
+    A generator stands between the fields and what is asked of them, so that the
+    optimiser does not put the expressions into every condition.
+    """
+    return entries.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in fields.items())))))
+
+
+def search_scope(
+    tables: dict[str, DataFrame], index: DataFrame, terms: list[str], scope: tuple[str, str], cross_group: bool = False, trials: DataFrame | None = None
+) -> DataFrame:
+    """Hits of a scope; none without terms.  With trials (tid), hits of unknown entities raise.
 
     tables: search tables by name with r, t, d and f (map of field to text); index: the latest short entries in the same form.
     Each table is searched alone, so terms do not meet across field groups,
@@ -78,10 +89,13 @@ def search_scope(tables: dict[str, DataFrame], index: DataFrame, terms: list[str
     hits = []
     for p in parts:
         values = F.map_values("f")
-        every = reduce(lambda a, b: a & b, [F.exists(values, _holds(t)) for t in terms])
-        named = F.map_keys(F.map_filter("f", lambda k, x: reduce(lambda a, b: a | b, [x.contains(t) for t in terms])))
+        every = reduce(lambda a, b: a & b, [F.exists(values, _holds(t)) for t in terms], F.lit(bool(terms)))
+        named = F.map_keys(F.map_filter("f", lambda k, x: reduce(lambda a, b: a | b, [x.contains(t) for t in terms], F.lit(False))))
         hits.append(p.where(every).select(F.col("t").alias("entity"), F.col("r").alias("record"), F.col("d").alias("day"), named.alias("hit_fields")))
-    return merge_hits(*hits)
+    merged = merge_hits(*hits)
+    if trials is not None:
+        require_known(merged, trials)
+    return merged
 
 
 def ordered(entities: DataFrame, day: str, entity: str) -> DataFrame:

@@ -1,9 +1,11 @@
-"""Publishing: tables under a version drawn from their content, a pointer moved last, and nothing on failure."""
+"""Publishing: tables under a version drawn from their content, a pointer added last, and nothing on failure."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from ..errors import SnapshotError
 
 SCHEMA_VERSION = 3
+#: Names of pointer files; the highest number that can be read is the published version.
+POINTER = re.compile(r"manifest-(\d{10})\.json")
 
 
 def canonical_json(obj) -> bytes:
@@ -35,10 +39,12 @@ def table_digest(df: DataFrame) -> DataFrame:
 def dataset_version(tables: dict[str, DataFrame]) -> tuple[str, dict[str, tuple[str, int]]]:
     """(16 hex, digest and rows by table); no table holds the version, so there is no circle."""
     found = {name: tuple(table_digest(df).first()) for name, df in sorted(tables.items())}
-    lines = "\n".join(f"{name}:{digest}" for name, (digest, _) in found.items())
-    import hashlib
+    return version_of(found), found
 
-    return hashlib.sha256(lines.encode()).hexdigest()[:16], found
+
+def version_of(digests: dict[str, tuple[str, int]]) -> str:
+    lines = "\n".join(f"{name}:{digest}" for name, (digest, _) in sorted(digests.items()))
+    return hashlib.sha256(lines.encode()).hexdigest()[:16]
 
 
 def _fs(spark: SparkSession, path: str):
@@ -66,13 +72,41 @@ def _write(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
+def _pointers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, path) of the pointer files, newest first; each publication adds one and none is changed or removed."""
+    fs, where = _fs(spark, root)
+    if not fs.exists(where):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(where)]
+    found = [(int(m[1]), f"{root}/{n}") for n in names if (m := POINTER.fullmatch(n))]
+    return sorted(found, reverse=True)
+
+
 def read_manifest(spark: SparkSession, root: str) -> dict | None:
-    """The published manifest; none, or one that cannot be read, is no baseline."""
+    """The manifest published last; none, or only such as cannot be read, is no baseline."""
+    for _, path in _pointers(spark, root):
+        try:
+            found = json.loads(_read(spark, path) or "null")
+        except ValueError:
+            continue
+        if isinstance(found, dict) and found.get("datasetVersion"):
+            return found
+    return None
+
+
+def _promote(spark: SparkSession, root: str, manifest: dict, number: int) -> None:
+    """Move a whole manifest to the next pointer's name; a name that is taken means that another publication was first."""
+    staged, target = f"{root}/.manifest-{uuid.uuid4().hex}", f"{root}/manifest-{number:010d}.json"
+    _write(spark, staged, canonical_json(manifest).decode())
+    fs, where = _fs(spark, staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
     try:
-        found = json.loads(_read(spark, f"{root}/manifest.json") or "null")
-        return found if isinstance(found, dict) and found.get("datasetVersion") else None
-    except ValueError:
-        return None
+        if fs.exists(path):
+            raise SnapshotError("BASELINE_MOVED", found=target)
+        if not fs.rename(where, path):
+            raise SnapshotError("BASELINE_MOVED" if fs.exists(path) else "PROMOTION_FAILED", "the pointer could not be moved")
+    finally:
+        fs.delete(where, False)
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -84,12 +118,17 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], *, partitions: dict[str, str] | None = None, check=None, expect: str | None = "", facts: dict | None = None) -> tuple[str, bool]:
-    """Write, check, then move the pointer -> (version, whether anything changed).
+    """Write, check, then add the pointer -> (version, whether anything changed).
+
+    Pointers are numbered and a number is taken once, so of two publications
+    that start from one version the later is BASELINE_MOVED; no step removes
+    or changes what was published before.
 
     expect: the version this build started from ("" for any); another one published meanwhile is BASELINE_MOVED.
     check(read) raises if the written tables, read back by name, break a rule.
     """
     version, digests = dataset_version(tables)
+    number = max((n for n, _ in _pointers(spark, root)), default=0) + 1
     before = read_manifest(spark, root)
     current = before["datasetVersion"] if before else None
     if expect != "" and current != expect:
@@ -98,8 +137,9 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], *, par
         return version, False
     target = f"{root}/version={version}"
     fs, where = _fs(spark, target)
+    stored = fs.exists(where)  # a version that was published before and is published again
     try:
-        for name, df in tables.items():
+        for name, df in tables.items() if not stored else ():
             writer = df.write.mode("overwrite")
             if partitions and name in partitions:
                 writer = writer.partitionBy(partitions[name])
@@ -112,20 +152,14 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], *, par
         if check:
             check(read)
         manifest = {"schemaVersion": SCHEMA_VERSION, "datasetVersion": version, "files": {n: {"digest": d, "rows": r} for n, (d, r) in digests.items()}, **(facts or {})}
-        staged = f"{root}/.manifest-{uuid.uuid4().hex}"
-        _write(spark, staged, canonical_json(manifest).decode())
         now = read_manifest(spark, root)
         if (now["datasetVersion"] if now else None) != current:
             raise SnapshotError("BASELINE_MOVED", expected=current)
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest.json"), False)
-        if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(staged), spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest.json")):
-            raise SnapshotError("PROMOTION_FAILED", "the pointer could not be moved")
-    except SnapshotError:
-        fs.delete(where, True)
-        raise
+        _promote(spark, root, manifest, number)
     except Exception as e:
-        fs.delete(where, True)
-        raise SnapshotError("PROMOTION_FAILED", str(e)[:500]) from e
+        if not stored:
+            fs.delete(where, True)
+        raise e if isinstance(e, SnapshotError) else SnapshotError("PROMOTION_FAILED", str(e)[:500]) from e
     return version, True
 
 
@@ -152,5 +186,24 @@ def dense_field(v: dict) -> tuple:
     return v["raw"], v["typed"] if "typed" in v else v["raw"], v.get("flags", [])
 
 
+def verify_published(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
+    """(violated, unevaluable) of the stored version's own claims: its tables' digests and rows, and the version drawn from them."""
+    manifest = read_manifest(spark, root)
+    if manifest is None or manifest.get("schemaVersion") != SCHEMA_VERSION:
+        return [], ["I7.artifactDigest", "I7.datasetVersion"]
+    found = {}
+    for name, facts in sorted(manifest["files"].items()):
+        try:
+            found[name] = tuple(table_digest(read_table(spark, root, name)).first())
+        except Exception:  # noqa: BLE001  a table that cannot be read leaves the rules without a ground
+            return [], ["I7.artifactDigest", "I7.datasetVersion"]
+    violated = []
+    if any(found[n] != (f["digest"], f["rows"]) for n, f in manifest["files"].items()):
+        violated.append("I7.artifactDigest")
+    if version_of(found) != manifest["datasetVersion"]:
+        violated.append("I7.datasetVersion")
+    return violated, []
+
+
 def local_path(path: str) -> str:
     return "file://" + os.path.abspath(path)

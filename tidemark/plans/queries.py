@@ -177,8 +177,7 @@ TERMS = ["tion", "the", "src1"]
 
 
 def _entries(spark, d):
-    fold = lambda c: text.ascii_search(F.col(c)).alias(c)
-    return _t(spark, d, "documents").select("doc_id", *(fold(c) for c in ("text", "source", "lang")))
+    return search.folded(_t(spark, d, "documents"), {c: text.ascii_search(F.col(c)) for c in ("text", "source", "lang")}, "doc_id")
 
 
 SEARCHED = f"with s as (select doc_id, trim(regexp_replace({FOLD.format('text')}, '[\\x09-\\x0d\\x1c-\\x20]+', ' ', 'g')) as text, {FOLD.format('source')} as source, {FOLD.format('lang')} as lang from documents) "
@@ -248,23 +247,46 @@ def dup_ordinals(spark, d):
     return identity.ordinals(docs, ["h"], "ordinal", ["doc_id"]).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"))
 
 
-LOOSE = "upper(substr(regexp_replace(text, '[^0-9A-Za-z]', '', 'g'), 1, 40))"
+LOOSE = "case when regexp_replace(text, '[^0-9A-Za-z]', '', 'g') <> '' then sha256(upper(regexp_replace(text, '[^0-9A-Za-z]', '', 'g'))) else '' end"
+
+
+def _loose():
+    """A digest of the whole loose key, so that texts stay out of the shuffle."""
+    key = F.upper(F.regexp_replace("text", "[^0-9A-Za-z]+", ""))
+    return F.when(key != "", F.sha2(key.cast("binary"), 256)).otherwise("")
+
 
 
 @query(f"select {LOOSE} as loose, string_agg(doc_id::varchar, ',' order by doc_id) as members from documents where {LOOSE} <> '' group by 1 having count(*) > 1")
 def loose_groups(spark, d):
-    loose = F.upper(F.substring(F.regexp_replace("text", "[^0-9A-Za-z]", ""), 1, 40))
-    return identity.near_groups(_t(spark, d, "documents"), loose, "doc_id").select("loose", F.array_join(F.col("keys").cast("array<string>"), ",").alias("members"))
+    return identity.near_groups(_t(spark, d, "documents"), _loose(), "doc_id").select("loose", F.array_join(F.col("keys").cast("array<string>"), ",").alias("members"))
 
 
 @query(f"""with g as (select {LOOSE} as loose, doc_id from documents where {LOOSE} <> '') select a.doc_id as key, string_agg(b.doc_id::varchar, ',' order by b.doc_id) as others
 from g a join g b on a.loose = b.loose and a.doc_id <> b.doc_id group by 1""")
 def near_partners(spark, d):
-    loose = F.upper(F.substring(F.regexp_replace("text", "[^0-9A-Za-z]", ""), 1, 40))
-    out = identity.near_partners(identity.near_groups(_t(spark, d, "documents"), loose, "doc_id"))
+    out = identity.near_partners(identity.near_groups(_t(spark, d, "documents"), _loose(), "doc_id"))
     return out.select("key", F.array_join(F.col("others").cast("array<string>"), ",").alias("others"))
 
 
+@query("""with x as (select p_partkey, case when p_size = 7 then ['__conflicted__'] when p_size % 10 = 3 then ['__unprovided__'] when p_size <= 10 then ['1-10'] when p_size <= 30 then ['11-30'] else ['31-100'] end as labels from part)
+select p_partkey, labels[1] as label from x where list_contains(labels, '__conflicted__') or list_contains(labels, '__unprovided__')""")
+def enroll_special(spark, d):
+    size = F.when(F.col("p_size") % 10 != 3, F.col("p_size"))
+    labels = facets.bucket_labels(F.col("p_size") == 7, size, size)
+    state = filters.FilterState(choices={"phase": [], "scale": [], "applicant": [], "enroll": ["__conflicted__", "__unprovided__"]})
+    found = _t(spark, d, "part").select("p_partkey", labels.alias("enroll"))
+    return found.where(filters.dimension("enroll", state, {"enroll": F.col("enroll")})).select("p_partkey", F.element_at("enroll", 1).alias("label"))
+
+
+@query("""select p_partkey, p_size::bigint as size, '2024-03-' || lpad((1 + p_size % 28)::varchar, 2, '0') as day from part""")
+def unicode_digits(spark, d):
+    script = lambda c: F.translate(c, "0123456789", "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669")
+    day = F.concat(F.lit("2024/03/"), F.lpad((1 + F.col("p_size") % 28).cast("string"), 2, "0"))
+    found = parse.parse_numeric(script(F.col("p_size").cast("string")))
+    return _t(spark, d, "part").select("p_partkey", found["typed"]["lo"].alias("size"), F.date_format(parse.calendar_date(script(day)), "yyyy-MM-dd").alias("day"))
+
+
 NORM = "upper(regexp_replace(url, '[0-9]', '', 'g'))"
 
 
@@ -389,10 +411,9 @@ def fk_owner(spark, d):
     return integrity.not_owned_once(_t(spark, d, "lineitem"), "l_orderkey")
 
 
-@query("""select coalesce(a.doc_id, b.doc_id) as doc_id, case when b.doc_id is null then 'missing' else 'extra' end as side from (select doc_id from documents where doc_id % 3 > 0) a full join (select doc_id from documents where doc_id % 5 > 0) b on a.doc_id = b.doc_id where a.doc_id is null or b.doc_id is null""")
+@query("""select coalesce(a.doc_id, b.doc_id) as doc_id, case when b.doc_id is null then 'missing' else 'extra' end as side from documents a full join labels b on a.doc_id = b.doc_id where a.doc_id is null or b.doc_id is null""")
 def inventory(spark, d):
-    ids = _t(spark, d, "documents").select("doc_id")
-    return integrity.missing_or_extra(ids.where("doc_id % 3 > 0"), ids.where("doc_id % 5 > 0"), "doc_id")
+    return integrity.missing_or_extra(_t(spark, d, "documents"), _t(spark, d, "labels"), "doc_id")
 
 
 @query("""with p as (select conv_id, turn, row_number() over (partition by conv_id order by length(text), turn) - 1 as want from conversations) select conv_id, turn from p where want <> turn""")
