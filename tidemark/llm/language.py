@@ -2,13 +2,16 @@
 
 For each language a suffix automaton holds all substrings of its labelled
 text.  A document is parsed greedily into the longest pieces an automaton
-contains; a language whose text resembles it needs few pieces.  Automata are
+contains; a language whose text resembles it needs few pieces.  A match grows
+with the logarithm of the text it is looked for in, so phrase counts are
+normalised by that of each language's text (the estimate of the cross entropy
+is phrases * log(labelled text) / length).  Automata are
 flattened to transition tables, and many stretches of text walk them in lock
 step, one symbol of each at a time, so the loop is over positions and not
 over characters.
 
 Defined results: null text, or one without any letter -> ``und`` with score
-0; no labelled text at all -> ``und``; equal phrase counts -> the language
+0; no labelled text at all -> ``und``; equal normalised counts -> the language
 first in code-point order; other columns are kept, an input column called
 lang_pred or score is replaced.
 """
@@ -29,6 +32,8 @@ UNKNOWN = "und"
 #: Bound of the labelled text behind one automaton, in characters, and of the documents it is drawn from.
 TRAIN_CHARS = 24_000
 TRAIN_DOCS = 64
+#: Languages that are learnt: those with the most labelled documents, ties in code-point order.
+MOST_LANGS = 64
 #: A document is parsed in stretches of this many characters; all count.
 STRETCH = 512
 #: Stretches that walk together.
@@ -109,6 +114,7 @@ class Model:
             elif 0xD800 <= cp < 0xE000 or _LETTER.match(ch):
                 self.map[cp] = 0
         self.tables = [automaton(t, code, self.width) for _, t in texts]
+        self.weight = np.array([np.log(max(2, len(t))) for _, t in texts])
         self.space = space
 
     @classmethod
@@ -181,8 +187,9 @@ def _predict(texts: list[tuple[str, str]]):
                     score += [0.0] * len(part)
                     continue
                 counts, _ = model.phrases(part)
+                counts = counts * model.weight
                 best = counts.argmin(axis=1)
-                rest = counts.astype(float)
+                rest = counts.copy()
                 rest[np.arange(len(part)), best] = np.inf
                 second = rest.min(axis=1)
                 low = counts[np.arange(len(part)), best]
@@ -226,6 +233,8 @@ def training_texts(labelled: DataFrame, chars: int = TRAIN_CHARS, docs: int = TR
     all over its text.
     """
     rows = labelled.where("lang is not null and text is not null and doc_id is not null")
+    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
+    rows = rows.join(F.broadcast(langs.select("lang")), "lang", "left_semi")
     draw = rows.select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)).alias("h"))
     drawn = draw.groupBy("lang", F.pmod("h", F.lit(docs)).alias("slot")).agg(F.min_by("doc_id", "h").alias("doc_id"))
     ids = sorted({r.doc_id for r in drawn.select("doc_id").collect()})
@@ -245,7 +254,7 @@ def training_texts(labelled: DataFrame, chars: int = TRAIN_CHARS, docs: int = TR
 
 
 def predict_language(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """docs (text, ...) -> the same columns, lang_pred and score (0 to 1: one less the ratio of the best to the next phrase count)."""
+    """docs (text, ...) -> the same columns, lang_pred and score (0 to 1: one less the ratio of the best to the next normalised count)."""
     texts = training_texts(labelled)
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*own).alias("row"))
