@@ -40,7 +40,7 @@ def test_budgets_and_whole_passes(spark, monkeypatch):
         monkeypatch.setattr(m, "BLOCK_TOKENS", block)
         df = mix_sources(spark.createDataFrame(rows(), SCHEMA).repartition(3), repeats=2.5)
         got = uses(df)
-        assert df.columns == ["doc_id", "text", "source", "n_chars", "s", "pass"]
+        assert df.columns == ["doc_id", "text", "source", "n_chars", "s", "pass", "block", "place"]
         assert set(got) == {r[0] for r in rows()} and max(got.values()) == 3
         check_budget(got, rows(), 2.5)
         assert uses(mix_sources(spark.createDataFrame(rows()[::-1], SCHEMA), repeats=2.5)) == got
@@ -67,3 +67,33 @@ def test_edges(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mix_sources(spark.createDataFrame([(1, None, "a", 0, "", ""), (1, "", None, 0, "", "")], SCHEMA)).count() == 2
     assert uses(mix_sources(spark.createDataFrame([(1, "a b", None, 0, "", "")] * 2 + [(None, "x", "q", 1, "", "")], SCHEMA), repeats=1)) == {1: 2, None: 1}
+
+
+def test_a_repetition_limit_goes_before_the_entropy():
+    import math
+
+    from tidemark.llm.mixing import exponent_for_entropy, exponent_for_repeats, weights
+
+    tokens = {"a": 10**9, "b": 8 * 10**8, "c": 50}
+    alone = weights(tokens, exponent_for_entropy(tokens, 0.97))
+    assert (alone["c"] / 50) / (alone["a"] / 10**9) > 10**6
+    both = weights(tokens, max(exponent_for_entropy(tokens, 0.97), exponent_for_repeats(tokens, 16.0)))
+    assert math.isclose((both["c"] / 50) / (both["a"] / 10**9), 16.0, rel_tol=1e-6)
+
+
+def test_places_follow_passes_and_permute_blocks(spark):
+    rows = [(i, "w " * 50, "big" if i % 4 else "small") for i in range(800)]
+    import tidemark.llm.mixing as m
+
+    held, m.BLOCK_TOKENS = m.BLOCK_TOKENS, 500
+    try:
+        out = m.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), repeats=2.5).collect()
+    finally:
+        m.BLOCK_TOKENS = held
+    assert all(0 <= r.place <= 1 for r in out)
+    ends = {}
+    for r in out:
+        ends.setdefault((r.source, r["pass"]), []).append((r.place, r.block))
+    assert max(ends["small", 0])[0] <= min(ends["small", 1])[0]
+    order = lambda p: [b for _, b in sorted(set(ends["small", p]))]
+    assert sorted(order(0)) == sorted(order(1)) and order(0) != order(1) and order(0) != sorted(order(0))

@@ -13,8 +13,10 @@ a source with a third of all rows is never one task's group.
 
 Defined results: null source -> a source of its own; null or blank text has no
 tokens and is kept in every whole pass; no rows, or no tokens at all -> every
-row once; repeated rows are documents of their own; other columns are kept, an
-input column called pass is replaced.
+row once; repeated rows are documents of their own, but those of one doc_id,
+text and source share a place in the permutation and enter the last pass
+together; other columns are kept, input columns called pass, block or place
+are replaced.
 """
 
 from __future__ import annotations
@@ -30,8 +32,14 @@ from pyspark.sql import functions as F
 from .store import staged
 from .words import SPACE
 
+ADDED = ("pass", "block", "place")
+
 #: Tokens of one block of the permutation, about.
 BLOCK_TOKENS = 200_000
+#: How much oftener than another source one may be used where an entropy is the target.
+MOST_REPEATS = 16.0
+#: Sources up to this count are broadcast (about 100 bytes each); the driver holds a row a source, MOST_SOURCES at most.
+BROADCAST_SOURCES, MOST_SOURCES = 50_000, 1_000_000
 
 
 def weights(tokens: dict, exponent: float) -> dict:
@@ -83,26 +91,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], [*batch.schema.names[:-1], "tokens"])
 
 
-def mix_sources(docs: DataFrame, repeats: float = 1.5, entropy_share: float | None = None, budget: int | None = None, seed: int = 17) -> DataFrame:
-    """docs (doc_id, text, source, ...) -> the same columns and pass (0, 1, ...), a row for each use of a document.
+def mix_sources(docs: DataFrame, repeats: float = 1.5, entropy_share: float | None = None, budget: int | None = None, seed: int = 17, most_repeats: float = MOST_REPEATS) -> DataFrame:
+    """docs (doc_id, text, source, ...) -> the same columns, pass (0, 1, ...), block and place, a row for each use of a document.
 
-    The exponent meets ``entropy_share`` if given, else the ``repeats`` limit.
+    The exponent meets ``entropy_share`` if given, unless a source would then be
+    used over ``most_repeats`` times as often as another: that limit goes
+    first.  Without an entropy it meets the ``repeats`` limit.
+    block numbers the source's blocks; place (0 to 1) is where in the mix the
+    use stands: each pass of a source has a permutation of its blocks of its
+    own, and passes follow each other.  In order of place and block, any part
+    of the mix has about the target weights.
     Without a budget (in tokens) the scarcest use is one whole pass: every
     document is used at least once, and at most ``repeats`` times as often.
     """
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c != "pass"]
+    own = [c for c in docs.columns if c not in ADDED]
     src = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     rows = docs.select(src.alias("s"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(seed)).alias("h"), F.struct(*own).alias("row"))
     # The words are counted on (key, text) alone, before whole rows are used again.
     light = docs.select(src.alias("s"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(seed)).alias("h"), F.col("text").cast("string").alias("text"))
     counted = light.mapInArrow(_count, "s string, h long, tokens long")
     counted = staged(counted, "tokens")
-    totals = counted.groupBy("s").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    totals = counted.groupBy("s").agg(F.sum("tokens").alias("t")).limit(MOST_SOURCES + 1).collect()
+    if len(totals) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     tokens = {r.s: int(r.t) for r in totals}
     if not sum(tokens.values()):
-        return docs.select(*own).withColumn("pass", F.lit(0))
-    exponent = exponent_for_repeats(tokens, repeats) if entropy_share is None else exponent_for_entropy(tokens, entropy_share)
+        return docs.select(*own, F.lit(0).alias("pass"), F.lit(0).cast("long").alias("block"), F.lit(0.0).alias("place"))
+    exponent = exponent_for_repeats(tokens, repeats) if entropy_share is None else max(exponent_for_entropy(tokens, entropy_share), exponent_for_repeats(tokens, most_repeats))
     w = weights(tokens, exponent)
     live = {k: v for k, v in tokens.items() if v > 0}
     total = max(v / w[k] for k, v in live.items()) if budget is None else float(budget)
@@ -110,10 +126,11 @@ def mix_sources(docs: DataFrame, repeats: float = 1.5, entropy_share: float | No
     whole = {k: math.floor(e + 1e-9) for k, e in epochs.items()}
     left = {k: int(round((epochs[k] - whole[k]) * tokens[k])) if tokens[k] else 0 for k in tokens}
     blocks = {k: max(1, v // BLOCK_TOKENS) for k, v in tokens.items()}
-    plan = spark.createDataFrame([(k, whole[k], max(0, left[k]), blocks[k]) for k in tokens], "s string, whole int, left long, blocks long")
+    plan = spark.createDataFrame([(k, whole[k], max(0, left[k]), blocks[k], float(epochs[k])) for k in tokens], "s string, whole int, left long, blocks long, epochs double")
+    plan = F.broadcast(plan) if len(tokens) <= BROADCAST_SOURCES else plan
 
     # Blocks in hash order are the permutation; their running sums find the block where a source's budget ends.
-    placed = counted.join(F.broadcast(plan), "s").where("left > 0").withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), F.col("blocks")))
+    placed = counted.join(plan, "s").where("left > 0").withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), F.col("blocks")))
     sums = placed.groupBy("s", "block", "left").agg(F.sum("tokens").alias("t"))
     order = Window.partitionBy("s").orderBy(F.xxhash64("block", F.lit(seed)), "block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("t").over(order), F.lit(0))).where("before < left").select("s", "block", "before", (F.col("before") + F.col("t") <= F.col("left")).alias("full"))
@@ -123,9 +140,14 @@ def mix_sources(docs: DataFrame, repeats: float = 1.5, entropy_share: float | No
     # A document is used more often if its block lies before the budget's end, or it does inside the last block.
     ends = sums.select("s", "block", "full")
     last = cut.select("s", "h", F.lit(1).alias("extra")).distinct()
-    sized = rows.join(F.broadcast(plan), "s").withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), F.col("blocks")))
+    sized = rows.join(plan, "s").withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), F.col("blocks")))
     sized = sized.join(F.broadcast(ends) if sum(blocks.values()) <= 200_000 else ends, ["s", "block"], "left")
     few = last.count()
     used = sized.join(F.broadcast(last) if few <= 500_000 else last, ["s", "h"], "left")
     times = F.col("whole") + F.when(F.coalesce("full", F.lit(False)) | F.col("extra").isNotNull(), 1).otherwise(0)
-    return used.where(times > 0).withColumn("pass", F.explode(F.sequence(F.lit(0), times - 1))).select("row.*", "pass")
+    used = used.where(times > 0).withColumn("pass", F.explode(F.sequence(F.lit(0), times - 1)))
+    # The order of blocks in a pass, as a number from 0 to 1; the last pass may be a part of one.
+    turn = F.shiftrightunsigned(F.xxhash64("s", "block", "pass", F.lit(seed)), 11) / F.lit(float(1 << 53))
+    share = F.least(F.lit(1.0), F.greatest(F.col("epochs") - F.col("pass"), F.lit(0.0)))
+    place = (F.col("pass") + turn * share) / F.greatest(F.col("epochs"), F.col("pass") + share)
+    return used.select("row.*", "pass", "block", place.alias("place"))
