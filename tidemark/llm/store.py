@@ -34,10 +34,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point in time for release_since()."""
+    return len(_made)
+
+
+def release_since(start: int, keep: int = 0) -> None:
+    """Remove what was staged since then, all but the last ``keep`` tables; frames that read the others end here."""
+    last = _made[max(start, len(_made) - keep) :] if keep else []
+    old = _made[start : len(_made) - len(last)]
+    del _made[start:]
+    _remove(old)
+    _made.extend(last)
+
+
 def release() -> None:
     """Remove all staged tables; frames that read them end here."""
-    while _made:
-        spark, path = _made.pop()
+    _remove(_made)
+    _made.clear()
+
+
+def _remove(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in reversed(tables):
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
