@@ -104,7 +104,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix_sources(docs, entropy_share=0.97).select("doc_id", "source", F.col("pass").alias("pass_no"))
+    return mix_sources(docs, entropy_share=0.97).select("doc_id", "source", F.col("pass").alias("pass_no"), "block", "place")
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,4 +129,49 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language, op3_near_text, op4_brown, op5_token_counts, op6_chat, op7_mixing, op8_ann, op9_pieces, op10_repeats)}
-ORACLE_SQL: dict[str, str] = {"op6_chat": OP6_SQL}
+REACH = """
+reach(id, root) as (
+  select id, id from nodes union select l.y, r.root from reach r join (select a as x, b as y from links union all select b, a from links) l on l.x = r.id
+), named as (select id, min(root) as root from reach group by 1)"""
+
+OP1_SQL = f"""
+with recursive rows as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings where embedding is not null and len(embedding) > 0
+), width as (select max(len(e)) as n from rows), valid as (
+  select vec_id, list_resize(e, (select n from width), 0) as e from rows where len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+), sized as (select vec_id, e, sqrt(list_inner_product(e, e)) as n from valid),
+links as (select a.vec_id as a, b.vec_id as b from sized a join sized b on a.vec_id < b.vec_id and list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+nodes as (select a as id from links union select b from links),
+{REACH}, counted as (select id, count(*) as n from (select a as id from links union all select b from links) group by 1)
+select v.vec_id, coalesce(c.n, 0) as n_links, coalesce(m.root, v.vec_id) as component_id, coalesce(m.root, v.vec_id) = v.vec_id as kept
+from embeddings v left join counted c on c.id = v.vec_id left join named m on m.id = v.vec_id
+"""
+
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = f"""
+with recursive w as (select doc_id, {WORDS.format(FOLDED)} as ws from documents),
+s as (
+  select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) end) as x from w
+), n as (select doc_id, count(*) as n from s group by 1),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+nodes as (select a as id from links union select b from links),
+{REACH}
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.root, w.doc_id) as component_id, coalesce(m.root, w.doc_id) = w.doc_id as kept
+from w left join n on n.doc_id = w.doc_id left join named m on m.id = w.doc_id
+"""
+
+OP10_SQL = f"""
+with w as (select doc_id, {WORDS.format("coalesce(text, '')")} as ws from documents),
+windows as (select doc_id, unnest(range(1, len(ws) - 11)) as first, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i : i + 12], ' '))) as x from w where len(ws) >= 13),
+hits as (select doc_id, first from (select doc_id, first, min(doc_id) over (partition by x) as low from windows) where low < doc_id),
+gone as (select distinct doc_id, first + k as pos from hits, range(13) r(k)),
+words as (select doc_id, unnest(range(1, len(ws) + 1)) as pos, unnest(ws) as word from w),
+kept as (select doc_id, string_agg(word, ' ' order by pos) as text, count(*) as n from words anti join gone using (doc_id, pos) group by 1)
+select w.doc_id, len(ws) as n_words, len(ws) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256 from w left join kept k using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_near_vectors": OP1_SQL, "op3_near_text": OP3_SQL, "op6_chat": OP6_SQL, "op10_repeats": OP10_SQL}
