@@ -241,14 +241,20 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     run = max(1, length - min(48, max(1, length // 2)) + 1)
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    anchors = plain.mapInArrow(trimmed(_anchors(length, run)), "anchor long, doc long").groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    shared = staged(anchors.where("low < high").select("anchor"), "anchors")
-    bloom = spark.sparkContext.broadcast(_bloom(shared))
+    anchors = plain.mapInArrow(trimmed(_anchors(length, run)), "anchor long, doc long").groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n"))
+    shared = staged(anchors.where("low < high").select("anchor", "n"), "anchors")
+    bloom = spark.sparkContext.broadcast(_bloom(shared.select("anchor")))
     found = plain.withColumn("tx", _text_key()).mapInArrow(
         trimmed(_shared_segments(length, run, bloom)), "anchor long, key long, doc long, tx long, start long, count long, seg binary")
     found = staged(found, "segments")
-    wide = found.where("seg is not null").groupBy("anchor").agg(F.approx_count_distinct("key").alias("n")).where(F.col("n") > BLOCK_SYMBOLS // (2 * length))
-    wide = sorted(r.anchor for r in wide.orderBy(F.desc("n"), "anchor").limit(MOST_WIDE).collect())
+    # An anchor has no more distinct segments than occurrences; only the few with very many are counted out.
+    most = BLOCK_SYMBOLS // (2 * length)
+    often = shared.where(F.col("n") > most).select("anchor")
+    n, wide = often.count(), []
+    if n:
+        own = found.where("seg is not null").join(F.broadcast(often) if n <= MOST_WIDE else often, "anchor", "left_semi")
+        counted = own.select("anchor", "key").distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+        wide = sorted(r.anchor for r in counted.orderBy(F.desc("n"), "anchor").limit(MOST_WIDE).collect())
     if wide:
         apart = plain.withColumn("tx", _text_key()).mapInArrow(trimmed(_shared_segments(length, run, bloom, spark.sparkContext.broadcast(np.array(wide)))), found.schema.simpleString()[7:-1].replace(":", " "))
         few = F.broadcast(spark.createDataFrame([(x,) for x in wide], "anchor long"))
