@@ -66,7 +66,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-with rows as (
+with recursive rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
   union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
@@ -79,24 +79,29 @@ with rows as (
     23 + length(replace(role, '~', '~0')) + len(regexp_extract_all(role, '<(/?s>|</?SYS>>)|\[/?INST\]'))
        + length(replace(text, '~', '~0')) + len(regexp_extract_all(text, '<(/?s>|</?SYS>>)|\[/?INST\]')) as chars from counted
 ), sized as (
-  select *, coalesce(max(case when leads then tokens end) over (partition by conv_id), 0) as system_tokens,
-    max(case when leads then chars end) over (partition by conv_id) as system_chars from escaped
+  select *, 1024 - coalesce(max(case when leads then tokens end) over (partition by conv_id), 0) as room from escaped
 ), placed as (
-  select *, case when leads then 0 else start0 - system_tokens end as start,
-    case when leads then 0 else (start0 - system_tokens) // greatest((1024 - 256 - system_tokens) // 2, 128) end as win from sized
-), firsts as (
-  select conv_id, win, min(pos) as first, arg_min(start, pos) as first_start, max(system_chars) as system_chars from placed group by 1, 2
-), repeated as (
-  select f.conv_id, sum(p.chars) as chars from firsts f join placed p on p.conv_id = f.conv_id
-  where f.win > 0 and not p.leads and p.pos between f.first - 2 and f.first - 1 and f.first_start - p.start <= 256 group by 1
-), again as (
-  select conv_id, sum(coalesce(system_chars, 0)) as chars from firsts where win > 0 group by 1
+  select *, case when leads then 0 else start0 - (1024 - room) end as start, case when leads then 0 else start0 - (1024 - room) + tokens end as stop,
+    (case when leads then 0 else start0 - (1024 - room) end) // 16384 as stretch from sized
+), based as (
+  select p.conv_id, p.pos, p.stretch, p.start, p.room, coalesce(min(q.start), p.start) as base, coalesce(min(q.pos), p.pos) as low from placed p
+  left join placed q on q.conv_id is not distinct from p.conv_id and q.pos between p.pos - 2 and p.pos - 1 and not q.leads
+    and p.start - q.start <= least(256, p.room - (p.stop - p.start)) group by p.conv_id, p.pos, p.stretch, p.start, p.room
+), follow as (
+  select b.conv_id, b.pos, b.low, min(q.pos) as next from based b left join placed q on q.conv_id is not distinct from b.conv_id and q.pos > b.pos
+    and (q.stop > b.base + b.room or q.stretch > b.stretch) group by b.conv_id, b.pos, b.low
+), windows as (
+  select conv_id, pos, low, next from follow where pos = 1
+  union all select f.conv_id, f.pos, f.low, f.next from windows w join follow f on f.conv_id is not distinct from w.conv_id and f.pos = w.next
+), written as (
+  select w.conv_id, sum(p.chars) as chars from windows w join placed p on p.conv_id is not distinct from w.conv_id
+    and ((p.pos >= w.low and (w.next is null or p.pos < w.next)) or (p.leads and w.pos > 1)) group by 1
 )
 select p.conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) as turns_sha256,
   coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by pos) filter (where role = 'assistant'), '')) as loss_sha256,
-  (sum(p.chars) + coalesce(max(r.chars), 0) + coalesce(max(a.chars), 0))::bigint as formatted_chars
-from placed p left join repeated r on r.conv_id = p.conv_id left join again a on a.conv_id = p.conv_id group by 1
+  max(w.chars)::bigint as formatted_chars
+from placed p join written w on w.conv_id is not distinct from p.conv_id group by 1
 """
 
 
