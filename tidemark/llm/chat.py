@@ -31,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import staged
+
 BUDGET, HISTORY_TURNS, HISTORY_TOKENS = 1024, 2, 256
 #: Turn numbers of one block of prefix sums, and budgets of tokens of one stretch.
 BLOCK, STRETCH = 64, 16
@@ -75,9 +77,12 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int =
     totals = totals.select("c", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"))
     placed = rows.join(totals, ["c", "block"]).withColumn("pos", F.col("n0") + F.col("in_block")).withColumn("start", F.col("t0") + F.col("sum_block") - F.col("tokens"))
 
+    # Written once: windows read its numbers, only the last joins read its texts.
+    placed = staged(placed.select("c", "conv_id", "pos", "role", "text", "tokens", "start"), "turns")
+
     leads = (F.col("pos") == 1) & (F.col("role") == "system")
-    system = placed.where(leads).select("c", F.col("tokens").alias("system_tokens"), F.col("role").alias("s_role"), F.col("text").alias("s_text"))
-    placed = placed.join(system.select("c", "system_tokens"), "c", "left").withColumn("system_tokens", F.coalesce("system_tokens", F.lit(0)))
+    system = placed.where(leads).select("c", F.col("tokens").alias("system_tokens"))
+    placed = placed.join(system, "c", "left").withColumn("system_tokens", F.coalesce("system_tokens", F.lit(0)))
     placed = placed.withColumn("start", F.when(leads, 0).otherwise(F.col("start") - F.col("system_tokens")))
     placed = placed.select("c", "conv_id", "pos", "role", "text", "tokens", "start", leads.alias("leads"), (F.lit(budget) - F.col("system_tokens")).alias("room"))
 
