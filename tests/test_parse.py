@@ -103,3 +103,13 @@ def test_digits_of_other_scripts(spark):
     n = parse.parse_numeric(F.col("n"))["typed"]
     got = df.select(n["lo"].alias("lo"), n["hi"].alias("hi"), parse.calendar_date(F.col("d")).cast("string").alias("d")).collect()
     assert [(r.lo, r.hi, r.d) for r in got] == [(42, 42, "2024-03-09"), (1, 12, None)]
+
+
+def test_strip_takes_every_kind_of_space_from_both_ends(spark):
+    from tidemark.functions import text
+
+    kinds = [c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and c.isspace()]
+    rows = [(c + "a" + c + "b" + c,) for c in kinds] + [("\u200bx\u200b",), ("".join(kinds),), ("",), (None,)]
+    got = spark.createDataFrame(rows, "s string").select("s", text.strip(F.col("s")).alias("a"), text.strip(F.col("s"), " ").alias("b")).collect()
+    for r in got:
+        assert r.a == (None if r.s is None else r.s.strip()) and r.b == (None if r.s is None else r.s.strip(" "))

@@ -7,7 +7,9 @@ else is built-in.  On text known to be ASCII the ``ascii`` forms stay native.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -18,8 +20,15 @@ PY_SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u20
 WHITE_SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+@lru_cache
+def _members(space: str) -> str:
+    """The characters of a class."""
+    return "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{space}]", c))
+
+
 def strip(c: Column, space: str = PY_SPACE) -> Column:
-    return F.regexp_replace(c, rf"\A[{space}]+|[{space}]+\z", "")
+    """Trimmed by a set of characters, which looks at the ends only."""
+    return F.btrim(c, F.lit(_members(space)))
 
 
 def collapse(c: Column, space: str = PY_SPACE) -> Column:
@@ -101,5 +110,9 @@ def identity_normalize_text(x: str) -> str:
 
 
 def ascii_search(c: Column) -> Column:
-    """search_normalize for text whose only non-ASCII folding is that of the sharp s."""
-    return collapse(strip(F.lower(F.replace(F.coalesce(c, F.lit("")), F.lit("ß"), F.lit("ss")))))
+    """search_normalize for text whose only non-ASCII folding is that of the sharp s, but for its white space.
+
+    What is searched for holds no white space (parse_query splits at it), so
+    whether a text contains it does not depend on stripping or collapsing.
+    """
+    return F.lower(F.replace(F.coalesce(c, F.lit("")), F.lit("ß"), F.lit("ss")))
