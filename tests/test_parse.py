@@ -1,6 +1,7 @@
 """Matrices of the typed projections; each row names what a weaker version would get wrong."""
 
 import datetime as dt
+import re
 import unicodedata
 
 import pytest
@@ -113,3 +114,12 @@ def test_strip_takes_every_kind_of_space_from_both_ends(spark):
     got = spark.createDataFrame(rows, "s string").select("s", text.strip(F.col("s")).alias("a"), text.strip(F.col("s"), " ").alias("b")).collect()
     for r in got:
         assert r.a == (None if r.s is None else r.s.strip()) and r.b == (None if r.s is None else r.s.strip(" "))
+
+
+def test_search_normalize_keeps_what_folding_brings_about(spark):
+    from tidemark.functions import text
+
+    rows = ["", " ", "\u3000\u00a8a\u2028 \t b\u00a0", "\u00a8", "Stra\u00dfe\x1c\x1fX", "a\u00b8 ", "\u200b a", None]
+    got = spark.createDataFrame([(x,) for x in rows], "s string").select("s", text.search_normalize(F.col("s")).alias("a")).collect()
+    plain = lambda x: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", x.strip()).casefold())
+    assert {r.s: r.a for r in got} == {x: plain(x or "") for x in rows}

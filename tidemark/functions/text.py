@@ -47,6 +47,17 @@ def _fold(x: str) -> str:
     return _nfkc(x).casefold()
 
 
+def _search(x: str) -> str:
+    """Folded, runs of white space as one space; a run at an end that folding brings about stays as one too."""
+    y = _fold(x.strip())
+    words = y.split()
+    if y[:1].isspace():
+        words.insert(0, "")
+    if words and y[-1:].isspace():
+        words.append("")
+    return " ".join(words)
+
+
 def _arrow(convert, c: Column) -> Column:
     def one(column: pa.Array) -> pa.Array:
         return pa.array([None if x is None else convert(x) for x in column.to_pylist()], pa.string())
@@ -88,7 +99,7 @@ def conflict_text(c: Column) -> Column:
 
 def search_normalize(c: Column) -> Column:
     """Strip, NFKC, full case folding, white space collapsed."""
-    return collapse(_arrow(_fold, strip(F.coalesce(c, F.lit("")))))
+    return _arrow(_search, F.coalesce(c, F.lit("")))
 
 
 def facet_normalize(c: Column) -> Column:
