@@ -133,7 +133,37 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language, op3_near_text, op4_brown, op5_token_counts, op6_chat, op7_mixing, op8_ann, op9_pieces, op10_repeats)}
+WHITE = r"[\x20\x09-\x0D]+"
+
+
+def _with_tails(docs: DataFrame) -> DataFrame:
+    """Every tenth document or so by its id ends in a repeated passage."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, words = F.floor(h / 10), F.filter(F.split("text", WHITE), lambda w: w != "")
+    n = F.size("words").cast("long")
+    docs = docs.withColumn("g", g).withColumn("words", F.when(h % 10 == 0, words))
+    docs = docs.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    start, size, left = (x.cast("int") for x in (F.col("a"), F.col("p"), n - F.col("a")))
+    passage = F.slice("words", start + 1, size)
+    tail = F.slice(F.flatten(F.array_repeat(passage, F.ceil(left / size).cast("int"))), F.lit(1), left)
+    whole = F.array_join(F.concat(F.slice("words", F.lit(1), start), tail), " ")
+    return docs.withColumn("text", F.coalesce(whole, "text")).drop("g", "words", "a", "p")
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import find_runs
+
+    found = find_runs(_with_tails(_table(spark, sf_dir, "documents").select("doc_id", "text")), least=6, exponent=4)
+    # Greatest length / period in whole numbers, then smallest start, then smallest period.
+    best = F.reduce("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), lambda b, r: F.when(b.isNull() | (r.length * b.period > b.length * r.period), r).otherwise(b))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    found = found.select("doc_id", "n_runs", best.alias("best"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed_text")).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                        "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language, op3_near_text, op4_brown, op5_token_counts, op6_chat, op7_mixing, op8_ann, op9_pieces, op10_repeats, op11_runs)}
 REACH = """
 reach(id, root) as (
   select id, id from nodes union select l.y, r.root from reach r join (select a as x, b as y from links union all select b, a from links) l on l.x = r.id
@@ -179,4 +209,28 @@ kept as (select doc_id, string_agg(word, ' ' order by pos) as text, count(*) as
 select w.doc_id, len(ws) as n_words, len(ws) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256 from w left join kept k using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_near_vectors": OP1_SQL, "op3_near_text": OP3_SQL, "op6_chat": OP6_SQL, "op10_repeats": OP10_SQL}
+#: CRC-32 as SQL: the table of 256 values follows from the polynomial, each character of the text x is then one look-up.
+CRC_TABLE = "crc as (select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, i) order by i) as tab from range(256) r(i))"
+CRC = "xor(4294967295, list_reduce(list_transform(string_split({}, ''), lambda ch: ascii(ch)::bigint), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8), 4294967295))"
+
+OP11_SQL = f"""
+with {CRC_TABLE},
+plain as (select row_number() over () as row, doc_id, {WORDS.format("coalesce(text, '')")} as ws, {CRC.format("coalesce(doc_id::varchar, '')")} as h from documents, crc),
+sized as (select *, len(ws) as n, h // 10 as g, case when len(ws) > 0 then (h // 10) % len(ws) end as a from plain),
+cut as (select *, 1 + (n - a) // (3 + g % 8) as p from sized),
+docs as (
+  select row, doc_id, n, case when doc_id is null or h % 10 <> 0 or n = 0 then ws else list_transform(range(0, n), lambda i: case when i < a then ws[i + 1] else ws[a + (i - a) % p + 1] end) end as ws from cut
+), words as (select row, n, unnest(range(0, n)) as i, unnest(ws) as w from docs),
+same as (select x.row, x.i, y.i - x.i as q from words x join words y on x.row = y.row and x.w = y.w and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+islands as (select row, q, min(i) as s, count(*) + q as l from (select *, i - row_number() over (partition by row, q order by i) as island from same) group by row, q, island having count(*) + q >= greatest(6, 4 * q)),
+runs as (select row, s, l, q from islands x where not exists (select 1 from islands y where y.row = x.row and y.q < x.q and y.s <= x.s and y.s + y.l >= x.s + x.l)),
+listed as (select row, count(*) as n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as lines from runs group by row),
+best as (select * from runs qualify row_number() over (partition by row order by l::double / q desc, s, q) = 1),
+gone as (select distinct row, unnest(range(s + q, s + l)) as i from runs),
+kept as (select row, string_agg(w, ' ' order by i) as text from words anti join gone using (row, i) group by row)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, s as start, l as length, q as period, 1000 * l // q as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(k.text, '')) as collapsed_sha256
+from docs d left join listed x on x.row = d.row left join best b on b.row = d.row left join kept k on k.row = d.row
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_near_vectors": OP1_SQL, "op3_near_text": OP3_SQL, "op6_chat": OP6_SQL, "op10_repeats": OP10_SQL, "op11_runs": OP11_SQL}
