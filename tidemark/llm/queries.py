@@ -163,7 +163,14 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language, op3_near_text, op4_brown, op5_token_counts, op6_chat, op7_mixing, op8_ann, op9_pieces, op10_repeats, op11_runs)}
+def op12_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byte_repeats import remove_shared_bytes
+
+    cut = remove_shared_bytes(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language, op3_near_text, op4_brown, op5_token_counts, op6_chat, op7_mixing, op8_ann, op9_pieces, op10_repeats, op11_runs, op12_bytes)}
 REACH = """
 reach(id, root) as (
   select id, id from nodes union select l.y, r.root from reach r join (select a as x, b as y from links union all select b, a from links) l on l.x = r.id
@@ -233,4 +240,19 @@ select d.doc_id, coalesce(n_runs, 0) as n_runs, s as start, l as length, q as pe
 from docs d left join listed x on x.row = d.row left join best b on b.row = d.row left join kept k on k.row = d.row
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_near_vectors": OP1_SQL, "op3_near_text": OP3_SQL, "op6_chat": OP6_SQL, "op10_repeats": OP10_SQL, "op11_runs": OP11_SQL}
+#: Two hexadecimal digits stand for a byte.
+OP12_SQL = """
+with docs as (select row_number() over () as row, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+windows as (select row, i, md5_number(substr(x, 2 * i + 1, 800)) as w from (select row, x, unnest(range(0, length(x) // 2 - 399)) as i from docs where length(x) >= 800)),
+hits as (select row, i from (select row, i, count(*) over (partition by w) as n from windows) where n > 1),
+marked as (select row, i, case when i - lag(i) over (partition by row order by i) <= 400 then 0 else 1 end as new from hits),
+spans as (select row, min(i) as a, max(i) + 400 as b from (select row, i, sum(new) over (partition by row order by i) as span from marked) group by row, span),
+pieces as (select row, a as at, a as stop, coalesce(lag(b) over (partition by row order by a), 0) as start from spans
+           union all select d.row, length(x) // 2, length(x) // 2, coalesce(max(b), 0) from docs d left join spans s on s.row = d.row group by d.row, x),
+kept as (select p.row, string_agg(substr(x, 2 * start + 1, 2 * (stop - start)), '' order by start) as x from pieces p join docs d on d.row = p.row group by p.row),
+gone as (select row, sum(b - a) as n, count(*) as spans from spans group by row)
+select d.doc_id, length(d.x) // 2 as n_bytes, coalesce(g.n, 0) as n_removed, coalesce(g.spans, 0) as n_spans, sha256(unhex(k.x)) as kept_sha256
+from docs d join kept k on k.row = d.row left join gone g on g.row = d.row
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_near_vectors": OP1_SQL, "op3_near_text": OP3_SQL, "op6_chat": OP6_SQL, "op10_repeats": OP10_SQL, "op11_runs": OP11_SQL, "op12_bytes": OP12_SQL}
