@@ -170,7 +170,31 @@ def op12_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language, op3_near_text, op4_brown, op5_token_counts, op6_chat, op7_mixing, op8_ann, op9_pieces, op10_repeats, op11_runs, op12_bytes)}
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Turns are dropped, emptied, cut, repeated or given to the user by a hash of their place."""
+    said = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    h = F.crc32(F.concat(said[0], F.lit(":"), said[1]).cast("binary")) % 20
+    turns = turns.select("conv_id", "turn", F.when(h == 4, "user").otherwise(said[2]).alias("role"),
+                         F.when(h == 1, "").when(h == 2, F.regexp_replace(said[3], "[.!?]", "")).otherwise(said[3]).alias("text"), h.alias("h"))
+    copies = F.when(F.col("h") == 0, 0).when(F.col("h") == 3, 2).otherwise(1)
+    return turns.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).drop("h", "copy")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import COUNTS, repair
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found, repaired = repair(_damaged(turns))
+    line = F.struct("part", "block", "at", "k", F.concat("role", F.lit(":"), "text").alias("line"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x.line), "\n")
+    texts = repaired.groupBy("conv_id").agg(F.sha2(lines.cast("binary"), 256).alias("repaired_sha256"))
+    numbers = ("gaps", *COUNTS, "cost")
+    whole = turns.select("conv_id").distinct().unionByName(found, allowMissingColumns=True).unionByName(texts, allowMissingColumns=True).groupBy("conv_id")
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return whole.agg(*(F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in numbers), F.coalesce(F.max("audit"), F.lit("")).alias("audit"), F.coalesce(F.max("repaired_sha256"), empty).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language, op3_near_text, op4_brown, op5_token_counts, op6_chat, op7_mixing, op8_ann, op9_pieces, op10_repeats, op11_runs, op12_bytes, op13_repair)}
 REACH = """
 reach(id, root) as (
   select id, id from nodes union select l.y, r.root from reach r join (select a as x, b as y from links union all select b, a from links) l on l.x = r.id
@@ -255,4 +279,48 @@ select d.doc_id, length(d.x) // 2 as n_bytes, coalesce(g.n, 0) as n_removed, coa
 from docs d join kept k on k.row = d.row left join gone g on g.row = d.row
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_near_vectors": OP1_SQL, "op3_near_text": OP3_SQL, "op6_chat": OP6_SQL, "op10_repeats": OP10_SQL, "op11_runs": OP11_SQL, "op12_bytes": OP12_SQL}
+#: States: 0 nothing said, 1 after system, 2 after user, 3 after assistant.  Up to two inserts stand before a turn or at the end; costs lead the text that is compared.
+OP13_SQL = rf"""
+with recursive {CRC_TABLE},
+hashed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {CRC.format("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as h
+  from conversations, crc
+), damaged as (
+  select conv_id, turn, case when h = 4 then 'user' else role end as role, case when h = 1 then '' when h = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from hashed, range(case when h = 0 then 0 when h = 3 then 2 else 1 end) where h <> 0
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos from damaged
+), faults as (
+  select *, role[1] as initial, lead(role[1]) over (partition by conv_id order by pos) as follows,
+    case when not regexp_matches(text, '[^ 	-]') then 'b' when row_number() over (partition by conv_id, role, text order by pos) > 1 then 'd'
+         when not regexp_matches(text, '[.!?][ 	-]*$') then 't' else ' ' end as fault from placed
+), counted as (
+  select conv_id, case when count(turn) = 0 then 0 else max(turn) - min(turn) + 1 - count(distinct turn) end as gaps, count(*) filter (where fault = 'b') as blank,
+    count(*) filter (where fault = 'd') as duplicate, count(*) filter (where fault = 't') as truncated,
+    count(*) filter (where follows is not null and initial || follows not in ('su', 'ua', 'au')) as illegal, max(pos) as n from faults group by 1
+), inserts(f, t, ins, roles) as (values (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''), (0, 2, 'I', 'u'), (0, 3, 'II', 'ua'), (1, 2, 'I', 'u'), (1, 3, 'II', 'ua'), (2, 3, 'I', 'a'), (2, 2, 'II', 'au'), (3, 2, 'I', 'u'), (3, 3, 'II', 'ua')
+), says(f, t, c) as (values (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (2, 3, 'a'), (3, 2, 'u')
+), moves as (
+  select f, f as t, 'D' as edit, '' as c, 2 as cost from (values (0), (1), (2), (3)) x(f)
+  union all select f, t, 'K', c, 0 from says union all select f, t, 'R', c, 1 from says where c <> 's'
+), steps as (
+  select conv_id, pos, i.f, m.t, 5 * length(ins) + cost + case when edit <> 'D' and fault = 't' then 5 else 0 end as cost, ins || edit as audit,
+    case when i.roles <> '' then concat(case when i.roles[1] = 'u' then 'user:' else 'assistant:' end, chr(10), case when i.roles = 'ua' then 'assistant:' || chr(10) when i.roles = 'au' then 'user:' || chr(10) else '' end) else '' end
+      || case edit when 'D' then '' when 'K' then role || ':' || text || chr(10) else (case m.c when 'u' then 'user:' else 'assistant:' end) || text || chr(10) end as said
+  from faults x, inserts i join moves m on m.f = i.t where edit = 'D' or (fault not in ('b', 'd') and (edit = 'R' or initial = m.c))
+), way as (
+  select distinct conv_id, 0::bigint as pos, 0 as state, 0::bigint as cost, '' as audit, '' as said from counted
+  union all
+  select w.conv_id, s.pos, s.t, min_by(w.cost + s.cost, printf('%12d', w.cost + s.cost) || w.audit || s.audit), min_by(w.audit || s.audit, printf('%12d', w.cost + s.cost) || w.audit || s.audit),
+    min_by(w.said || s.said, printf('%12d', w.cost + s.cost) || w.audit || s.audit)
+  from way w join steps s on s.conv_id is not distinct from w.conv_id and s.pos = w.pos + 1 and s.f = w.state group by w.conv_id, s.pos, s.t
+), ended as (
+  select w.conv_id, w.cost + 5 * length(ins) as cost, w.audit || ins as audit, w.said || case ins when 'II' then 'user:' || chr(10) || 'assistant:' || chr(10) when 'I' then 'assistant:' || chr(10) else '' end as said
+  from way w join counted c on c.conv_id is not distinct from w.conv_id and c.n = w.pos join inserts i on i.f = w.state and ((i.f = 0 and ins = '') or (i.f > 0 and i.t = 3 and (i.f <> 3 or ins = '')))
+), best as (select * from ended qualify row_number() over (partition by conv_id order by cost, audit) = 1)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(cost, 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(case when said = '' then '' else said[:-2] end, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counted c on c.conv_id is not distinct from o.conv_id left join best b on b.conv_id is not distinct from o.conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_near_vectors": OP1_SQL, "op3_near_text": OP3_SQL, "op6_chat": OP6_SQL, "op10_repeats": OP10_SQL, "op11_runs": OP11_SQL, "op12_bytes": OP12_SQL, "op13_repair": OP13_SQL}
