@@ -302,7 +302,13 @@ def test_cohort_ties_and_future(spark):
 def test_stored_order_and_claims(spark, tmp_path):
     where = str(tmp_path / "t")
     spark.createDataFrame([("a",), ("c",), ("b",), ("d",)], "tid string").coalesce(1).write.parquet(where)
-    assert [r.tid for r in integrity.out_of_order_in_files(spark.read.parquet(where), "tid").collect()] == ["b"]
+    assert sorted(r.tid for r in integrity.out_of_order_in_files(spark.read.parquet(where), "tid").collect()) == ["b", "c"]
+    across = str(tmp_path / "u")
+    for k, tid in enumerate("badc"):  # each file is in order, the table is not
+        spark.createDataFrame([(tid,)], "tid string").coalesce(1).write.parquet(f"{across}/n={k}")
+    assert sorted(r.tid for r in integrity.out_of_order_in_files(spark.read.parquet(across), "tid").collect()) == ["a", "b", "c", "d"]
+    spark.createDataFrame([(f"{k:03d}",) for k in range(300)], "tid string").repartitionByRange(7, "tid").sortWithinPartitions("tid").write.parquet(str(tmp_path / "v"))
+    assert integrity.out_of_order_in_files(spark.read.parquet(str(tmp_path / "v")), "tid").count() == 0
     root = pub.local_path(str(tmp_path / "site"))
     assert pub.verify_published(spark, root) == ([], ["I7.artifactDigest", "I7.datasetVersion"])
     version, _ = pub.publish(spark, root, {"t": spark.range(5)})
@@ -311,29 +317,96 @@ def test_stored_order_and_claims(spark, tmp_path):
     assert pub.verify_published(spark, root)[0] == ["I7.artifactDigest", "I7.datasetVersion"]
 
 
-@pytest.mark.parametrize("step", ["_write", "_promote", "table_digest"])
-def test_a_crash_at_any_step_keeps_what_is_published(spark, tmp_path, monkeypatch, step):
+STEPS = ["_create", "_stage", "table_digest", "_move", "_promote", "read_manifest"]
+
+
+@pytest.mark.parametrize("kind", [RuntimeError, KeyboardInterrupt])
+@pytest.mark.parametrize("step", STEPS)
+def test_a_failure_at_any_step_keeps_what_is_published(spark, tmp_path, monkeypatch, step, kind):
     root = pub.local_path(str(tmp_path / "site"))
     version, _ = pub.publish(spark, root, {"t": spark.range(3)})
     plain, calls = getattr(pub, step), []
 
     def crash(*a, **k):
         calls.append(a)
-        if step == "table_digest" and len(calls) == 1:  # the digest of what was read back fails, not that of the input
+        if step == "read_manifest" and len(calls) == 1:
             return plain(*a, **k)
-        raise RuntimeError("crash")
+        raise kind("crash")
 
     with monkeypatch.context() as m:
         m.setattr(pub, step, crash)
-        with pytest.raises(SnapshotError) as e:
+        with pytest.raises(SnapshotError if kind is RuntimeError else kind) as e:
             pub.publish(spark, root, {"t": spark.range(4)})
-    assert e.value.code.value == "PROMOTION_FAILED"
+    assert kind is not RuntimeError or e.value.code.value == "PROMOTION_FAILED"
     assert pub.read_manifest(spark, root)["datasetVersion"] == version and pub.read_table(spark, root, "t").count() == 3
+    assert sorted(p.name for p in (tmp_path / "site").iterdir() if not p.name.endswith(".crc")) == [".journal", "manifest-0000000001.json", f"version={version}"]
     assert pub.publish(spark, root, {"t": spark.range(4)})[1] and pub.read_table(spark, root, "t").count() == 4
-    # an older version may be published again; its tables are not written anew
+    # an older version may be published again; the tables of its first publication are used
     assert pub.publish(spark, root, {"t": spark.range(3)}) == (version, True) and pub.read_table(spark, root, "t").count() == 3
 
 
+@pytest.mark.parametrize("step", STEPS)
+@pytest.mark.parametrize("after", [False, True])
+def test_what_a_killed_publication_leaves_is_not_in_the_way(spark, tmp_path, monkeypatch, step, after):
+    root = pub.local_path(str(tmp_path / "site"))
+    pub.publish(spark, root, {"t": spark.range(3)})
+    plain, calls = getattr(pub, step), []
+
+    def killed(*a, **k):
+        calls.append(a)
+        if step == "read_manifest" and len(calls) == 1:
+            return plain(*a, **k)
+        if after:
+            plain(*a, **k)
+        raise SystemExit("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(pub, step, killed)
+        m.setattr(pub, "_forget", lambda *a: None)  # a killed process tidies nothing
+        m.setattr(pub, "_remove", lambda *a: None)
+        with pytest.raises(SystemExit):
+            pub.publish(spark, root, {"t": spark.range(4)})
+    version, changed = pub.publish(spark, root, {"t": spark.range(4)})
+    assert changed or (step == "_promote" and after)
+    assert pub.read_table(spark, root, "t").count() == 4 and pub.verify_published(spark, root) == ([], [])
+    pub.recover(spark, root, now=10**12)
+    left = sorted(p.name for p in (tmp_path / "site").iterdir() if not p.name.endswith(".crc"))
+    assert [x for x in left if x.startswith(".staging")] == [] and len([x for x in left if x.startswith("version")]) == 2
+    assert list((tmp_path / "site" / ".journal").glob("*.json")) == []
+
+
+def test_a_torn_version_is_written_anew(spark, tmp_path):
+    root = pub.local_path(str(tmp_path / "site"))
+    version, _ = pub.publish(spark, root, {"t": spark.range(3)})
+    other = pub.local_path(str(tmp_path / "other"))
+    spark.range(2).write.parquet(f"{other}/version={version}/t")  # part of what should be there
+    live = {"until": 10**12, "version": version}
+    assert pub._create(spark, f"{other}/.journal/x.json", __import__("json").dumps(live)) and not pub._create(spark, f"{other}/.journal/x.json", "{}")
+    assert pub.publish(spark, other, {"t": spark.range(3)}) == (version, True) and pub.read_table(spark, other, "t").count() == 3
+    assert pub.recover(spark, other) == []  # the other publication's lease runs
+
+
+def test_of_two_publications_one_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    root = pub.local_path(str(tmp_path / "site"))
+    pub.publish(spark, root, {"t": spark.range(3)})
+    meet = Barrier(2, timeout=60)
+
+    def one(n):
+        try:
+            return pub.publish(spark, root, {"t": spark.range(n)}, check=lambda read: meet.wait())
+        except SnapshotError as e:
+            return e.code.value
+
+    with ThreadPoolExecutor(2) as pool:
+        got = list(pool.map(one, (4, 5)))
+    assert sorted(isinstance(x, tuple) for x in got) == [False, True] and "BASELINE_MOVED" in got
+    won = next(x for x in got if isinstance(x, tuple))
+    assert pub.read_manifest(spark, root)["datasetVersion"] == won[0] and pub.verify_published(spark, root) == ([], [])
+
+
 def test_a_taken_pointer_is_a_moved_baseline(spark, tmp_path, monkeypatch):
     root = pub.local_path(str(tmp_path / "site"))
     pub.publish(spark, root, {"t": spark.range(3)})

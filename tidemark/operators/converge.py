@@ -90,8 +90,8 @@ def build_trials(records: DataFrame, spec: SnapshotSpec) -> tuple[DataFrame, Dat
         F.max("latest_date").alias("latest_date"), F.count_if("in_cohort").alias("cohort_count"), F.count(F.lit(1)).alias("record_count"),
         F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["rid"]).alias("record_ids"),
         F.array_sort(F.collect_list(F.when(F.col("in_cohort"), F.col("rid")))).alias("latest_cohort"))
-    loose = identity.near_groups(dated.where("norm <> ''").select(loose_key(F.col("protocol")).alias("l"), "tid").distinct(), F.col("l"), "tid")
-    near = loose.select(F.explode("keys").alias("tid"), F.col("loose").alias("near_group")).groupBy("tid").agg(F.min("near_group").alias("near_group"))
+    loose = identity.near_members(dated.where("norm <> ''").select(loose_key(F.col("protocol")).alias("l"), "tid").distinct(), F.col("l"), "tid")
+    near = loose.groupBy(F.col("key").alias("tid")).agg(F.min("loose").alias("near_group"))
     trials = whole.join(by_trial, "tid").join(near, "tid", "left")
     return trials.select(
         "tid", "key", "protocol_raw", "protocol_non_identifier", "suspected_test_row", "near_group", "latest_date", F.col("latest_date").isNull().alias("date_unknown"),

@@ -17,21 +17,44 @@ def shard_of(tid: Column) -> Column:
     return F.substring(tid, 2, 2)
 
 
+#: Copies of one row that are written out by one task.
+COPIES = 65_536
+
+
 def ordinals(df: DataFrame, by: list[str], name: str, order: list[str] | None = None) -> DataFrame:
-    """0, 1, ... among rows equal in ``by``; equal rows are interchangeable unless an order is given."""
+    """0, 1, ... among rows equal in ``by``, in one task a group; positions.ordinals() is for groups of any size."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*(order or by))) - 1)
 
 
+def numbered_copies(rows: DataFrame, same: list[str], name: str) -> DataFrame:
+    """rows and their number, from 0, among rows that agree in ``same``, which must agree in everything.
+
+    Copies are counted, which combines before the shuffle, and written out
+    again in stretches of COPIES that are dealt out anew, so a row repeated any
+    number of times is neither one task's work nor one array.
+    """
+    rest = [c for c in rows.columns if c not in same]
+    once = rows.groupBy(*same).agg(F.first(F.struct(*rest)).alias("__row"), F.count(F.lit(1)).alias("__n"))
+    few = once.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(COPIES).cast("long"))))
+    few = few.hint("rebalance", *(F.col(c) for c in (*same, "__from")))
+    end = F.least(F.col("__from") + COPIES, F.col("__n")) - 1
+    return few.withColumn(name, F.explode(F.sequence(F.col("__from"), end))).select(*same, "__row.*", name)
+
+
 def assign_keys(rows: DataFrame, identity: str, canon: str = "canon") -> DataFrame:
-    """rows + key, tid, rid.  P:<normalised identifier>, or H:<hash of the row>#<ordinal> where there is none."""
-    rows = rows.withColumn("norm", identity_normalize(F.col(f"`{identity}`"))).withColumn("hash", F.sha2(F.col(canon).cast("binary"), 256))
-    # Only rows without an identifier need an ordinal for their key: the others get a constant group of their own hash.
-    rows = ordinals(rows, ["hash", canon], "same")
-    rows = rows.withColumn("key", F.when(F.col("norm") != "", F.concat(F.lit("P:"), "norm")).otherwise(F.concat(F.lit("H:"), "hash", F.lit("#"), F.col("same").cast("string"))))
+    """rows + key, tid, rid.  P:<normalised identifier>, or H:<hash of the row>#<ordinal> where there is none.
+
+    Rows with one canonical text are copies of each other.  Copies with an
+    identifier are records of one entity, numbered; without one, each copy is
+    an entity of its own.
+    """
+    rows = numbered_copies(rows.withColumn("hash", F.sha2(F.col(canon).cast("binary"), 256)), ["hash", canon], "same")
+    rows = rows.withColumn("norm", identity_normalize(F.col(f"`{identity}`")))
+    named, nth = F.col("norm") != "", F.col("same").cast("string")
+    rows = rows.withColumn("key", F.when(named, F.concat(F.lit("P:"), "norm")).otherwise(F.concat(F.lit("H:"), "hash", F.lit("#"), nth)))
     rows = rows.withColumn("tid", entity_id(F.col("key")))
-    rows = ordinals(rows, ["tid", "hash", canon], "nth")
-    rid = F.concat("tid", F.lit("r"), F.substring("hash", 1, 16), F.lit("#"), F.col("nth").cast("string"))
-    return rows.withColumn("rid", rid).drop("same", "nth")
+    rid = F.concat("tid", F.lit("r"), F.substring("hash", 1, 16), F.lit("#"), F.when(named, nth).otherwise("0"))
+    return rows.withColumn("rid", rid).drop("same")
 
 
 def colliding(rows: DataFrame, raw: Column, norm: Column) -> DataFrame:
@@ -71,6 +94,16 @@ def near_groups(entities: DataFrame, loose: Column, key: str) -> DataFrame:
     return pairs.groupBy("loose").agg(F.array_sort(F.collect_list("k")).alias("keys")).where(F.size("keys") > 1)
 
 
+def near_members(entities: DataFrame, loose: Column, key: str) -> DataFrame:
+    """key, loose, representative (the smallest key), others: entities whose loose key another one shares.
+
+    A group of any size is its representative and its members' rows; no list is made of it.
+    """
+    pairs = entities.select(F.col(key).alias("key"), loose.alias("loose")).where("loose <> ''").distinct()
+    groups = pairs.groupBy("loose").agg(F.min("key").alias("representative"), (F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
+    return pairs.join(groups, "loose").select("key", "loose", "representative", "others")
+
+
 def near_partners(groups: DataFrame) -> DataFrame:
     """Each key with the others of its group."""
     each = groups.select("loose", F.explode("keys").alias("key"), "keys")

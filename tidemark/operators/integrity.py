@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SnapshotError
+from .positions import misplaced
 
 
 def missing_or_extra(declared: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -36,16 +37,13 @@ def out_of_order(rows: DataFrame, by: list[str], position: str, order: list[str]
 
 
 def out_of_order_in_files(rows: DataFrame, key: str) -> DataFrame:
-    """Rows that stand in their stored file after a row with a larger key, by the place Spark reads them from.
+    """Rows that do not stand where the order of ``key`` over all files of a table puts them.
 
-    Files are ordered in themselves, as writers sort within partitions; an
-    order over all files of a table would make one task of it.
+    Files count in the order of their names, rows in the order in which a file
+    stores them; equal keys may stand in any order among themselves.
     """
-    from pyspark.sql import Window
-
-    placed = rows.select(key, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-    before = Window.partitionBy("file").orderBy("at")
-    return placed.withColumn("last", F.lag(key).over(before)).where(F.col("last") > F.col(key)).select(key)
+    stands = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    return misplaced(rows, key, *stands).select(key)
 
 
 def differences(stored: DataFrame, recomputed: DataFrame) -> DataFrame:

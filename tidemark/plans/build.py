@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import search_normalize
 from ..operators import converge, facets, identity
+from ..staging import Staging, lasting
 from .spec import SnapshotSpec
 
 
-def build(rows: DataFrame, spec: SnapshotSpec, build_date: dt.date) -> dict[str, DataFrame]:
+def build(rows: DataFrame, spec: SnapshotSpec, build_date: dt.date, run: Staging | None = None) -> dict[str, DataFrame]:
     """trials, records, search and stats tables; collisions raise first.
 
+    Parsed records are written once, in ``run``; close it when the tables have been published.
+
     search holds one row a record with short and long fields normalised once
     and in_cohort, so a scope is a filter on it.
     """
-    records = converge.build_records(rows, spec, build_date).persist()
+    records = (run or lasting(rows.sparkSession)).table(converge.build_records(rows, spec, build_date), "records")
     keyed = records.select(F.col("protocol").alias(spec.identity), "norm", "hash", "key", "tid", "rid")
     identity.require_no_collision(keyed, spec.identity)
     identity.require_no_truncation(keyed)

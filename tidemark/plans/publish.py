@@ -1,4 +1,11 @@
-"""Publishing: tables under a version drawn from their content, a pointer added last, and nothing on failure."""
+"""Publishing: tables under a version drawn from their content, a pointer added last, and nothing on failure.
+
+A publication writes under a name of its own, which a journal entry with a
+lease makes known, moves the tables to their version's name once they are
+verified, and adds a numbered pointer that nobody can overwrite.  Whatever a
+killed publication leaves behind is not in the way of the next one, and
+recover() removes it when its lease is over.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +13,10 @@ import hashlib
 import json
 import os
 import re
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SnapshotError
@@ -16,6 +24,8 @@ from ..errors import SnapshotError
 SCHEMA_VERSION = 3
 #: Names of pointer files; the highest number that can be read is the published version.
 POINTER = re.compile(r"manifest-(\d{10})\.json")
+#: Seconds after which a publication that has not ended counts as killed.
+LEASE = 6 * 3600
 
 
 def canonical_json(obj) -> bytes:
@@ -23,16 +33,26 @@ def canonical_json(obj) -> bytes:
     return json.dumps(obj, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
 
 
+def _sums(columns: list[str]) -> list[Column]:
+    """Aggregates that stand for the multiset of rows: their number, and sums of four parts of their hashes."""
+    text = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    h = F.sha2(text.cast("binary"), 256)
+    part = lambda a: F.conv(F.substring(h, a, 15), 16, 10).cast("decimal(38,0)")
+    return [F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(part(a)), F.lit(0)).cast("decimal(38,0)").cast("string").alias(f"s{a}") for a in (1, 16, 31, 46))]
+
+
+def _digest_of(sums: dict) -> tuple[str, int]:
+    text = ",".join(str(sums[k]) for k in ("rows", "s1", "s16", "s31", "s46"))
+    return hashlib.sha256(text.encode()).hexdigest(), sums["rows"]
+
+
 def table_digest(df: DataFrame) -> DataFrame:
     """One row: a digest of the set of rows, whatever their order or partitions, and their number.
 
     Rows are hashed as JSON with nulls kept; the sums of two halves of the
     hashes stand for the multiset, so nothing is sorted or gathered.
     """
-    text = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    h = F.sha2(text.cast("binary"), 256)
-    part = lambda a: F.conv(F.substring(h, a, 15), 16, 10).cast("decimal(38,0)")
-    sums = df.agg(F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(part(a)), F.lit(0)).cast("decimal(38,0)").cast("string").alias(f"s{a}") for a in (1, 16, 31, 46)))
+    sums = df.agg(*_sums(df.columns))
     return sums.select(F.sha2(F.concat_ws(",", F.col("rows").cast("string"), "s1", "s16", "s31", "s46").cast("binary"), 256).alias("digest"), "rows")
 
 
@@ -94,19 +114,98 @@ def read_manifest(spark: SparkSession, root: str) -> dict | None:
     return None
 
 
-def _promote(spark: SparkSession, root: str, manifest: dict, number: int) -> None:
-    """Move a whole manifest to the next pointer's name; a name that is taken means that another publication was first."""
-    staged, target = f"{root}/.manifest-{uuid.uuid4().hex}", f"{root}/manifest-{number:010d}.json"
-    _write(spark, staged, canonical_json(manifest).decode())
-    fs, where = _fs(spark, staged)
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a file that must not exist yet; False if it does.
+
+    On a local disk the system call creates it exclusively; HDFS does so by
+    itself.  A store without exclusive creation needs a committer of its own.
+    """
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where.getParent())
+    try:
+        if fs.getUri().getScheme() == "file":
+            option = jvm.java.nio.file.StandardOpenOption
+            flags = spark.sparkContext._gateway.new_array(jvm.java.nio.file.OpenOption, 2)
+            flags[0], flags[1] = option.CREATE_NEW, option.WRITE
+            jvm.java.nio.file.Files.write(jvm.java.nio.file.Paths.get(where.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)), bytearray(text.encode()), flags)
+            return True
+        stream = fs.create(where, False)
+    except Exception as e:
+        if fs.exists(where):
+            return False
+        raise e
     try:
-        if fs.exists(path):
-            raise SnapshotError("BASELINE_MOVED", found=target)
-        if not fs.rename(where, path):
-            raise SnapshotError("BASELINE_MOVED" if fs.exists(path) else "PROMOTION_FAILED", "the pointer could not be moved")
+        stream.write(bytearray(text.encode()))
     finally:
-        fs.delete(where, False)
+        stream.close()
+    return True
+
+
+def _promote(spark: SparkSession, root: str, manifest: dict, number: int) -> None:
+    """Create the next pointer; a number that is taken means that another publication was first."""
+    target = f"{root}/manifest-{number:010d}.json"
+    if not _create(spark, target, canonical_json(manifest).decode()):
+        raise SnapshotError("BASELINE_MOVED", found=target)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, where = _fs(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def _journal(spark: SparkSession, root: str) -> dict[str, dict]:
+    """Entries by publication; one that cannot be read was cut short and counts as over."""
+    out: dict[str, dict] = {}
+    for name in _names(spark, f"{root}/.journal"):
+        entry = out.setdefault(name.split(".")[0], {"until": 0})
+        try:
+            entry |= json.loads(_read(spark, f"{root}/.journal/{name}") or "{}")
+        except ValueError:
+            continue
+    return out
+
+
+def _forget(spark: SparkSession, root: str, own: str) -> None:
+    _remove(spark, f"{root}/.staging-{own}")
+    for name in _names(spark, f"{root}/.journal"):
+        if name.split(".")[0] == own:
+            _remove(spark, f"{root}/.journal/{name}")
+
+
+def _named(spark: SparkSession, root: str) -> set[str]:
+    """Versions that any pointer names."""
+    out = set()
+    for _, path in _pointers(spark, root):
+        try:
+            out.add((json.loads(_read(spark, path) or "null") or {}).get("datasetVersion"))
+        except (ValueError, AttributeError):
+            continue
+    return out
+
+
+def recover(spark: SparkSession, root: str, now: float | None = None) -> list[str]:
+    """Remove what killed publications left: staged tables whose lease is over, and versions that nothing names -> their names."""
+    now, gone = time.time() if now is None else now, []
+    entries = _journal(spark, root)
+    for own, entry in entries.items():
+        if entry["until"] < now:
+            gone.append(f".staging-{own}")
+            _forget(spark, root, own)
+    live = [e for e in entries.values() if e["until"] >= now]
+    keep = _named(spark, root) | {e.get("version") for e in live}
+    for name in _names(spark, root):
+        version, own = name.removeprefix("version="), name.removeprefix(".staging-")
+        if (name != version and version not in keep) or (name != own and own not in entries):
+            gone.append(name)
+            _remove(spark, f"{root}/{name}")
+    return gone
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -117,50 +216,89 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/version={manifest['datasetVersion']}/{name}")
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], *, partitions: dict[str, str] | None = None, check=None, expect: str | None = "", facts: dict | None = None) -> tuple[str, bool]:
+def publish(
+    spark: SparkSession, root: str, tables: dict[str, DataFrame], *, partitions: dict[str, str] | None = None, check=None, expect: str | None = "", facts: dict | None = None, lease: float = LEASE
+) -> tuple[str, bool]:
     """Write, check, then add the pointer -> (version, whether anything changed).
 
-    Pointers are numbered and a number is taken once, so of two publications
-    that start from one version the later is BASELINE_MOVED; no step removes
-    or changes what was published before.
+    Each table is computed once: its digest is taken while it is written, and
+    again from what was written.  Pointers are numbered and a number is taken
+    once, so of two publications that start from one version the later is
+    BASELINE_MOVED; no step removes or changes what was published before.
 
     expect: the version this build started from ("" for any); another one published meanwhile is BASELINE_MOVED.
     check(read) raises if the written tables, read back by name, break a rule.
+    lease: seconds that this publication may take before recover() counts it as killed.
     """
-    version, digests = dataset_version(tables)
+    recover(spark, root)
     number = max((n for n, _ in _pointers(spark, root)), default=0) + 1
     before = read_manifest(spark, root)
     current = before["datasetVersion"] if before else None
     if expect != "" and current != expect:
         raise SnapshotError("BASELINE_MOVED", expected=expect, found=current)
-    if current == version:
-        return version, False
-    target = f"{root}/version={version}"
-    fs, where = _fs(spark, target)
-    stored = fs.exists(where)  # a version that was published before and is published again
+    own, moved = uuid.uuid4().hex, None
+    until = time.time() + lease
     try:
-        for name, df in tables.items() if not stored else ():
-            writer = df.write.mode("overwrite")
-            if partitions and name in partitions:
-                writer = writer.partitionBy(partitions[name])
-            writer.parquet(f"{target}/{name}")
-        read = lambda name: spark.read.parquet(f"{target}/{name}")
-        for name, (digest, rows) in digests.items():
-            got = tuple(table_digest(read(name).select(*tables[name].columns)).first())
-            if got != (digest, rows):
-                raise SnapshotError("INTEGRITY_DIGEST", table=name)
+        _create(spark, f"{root}/.journal/{own}.json", json.dumps({"until": until}))
+        digests = {name: _stage(spark, f"{root}/.staging-{own}/{name}", df, (partitions or {}).get(name)) for name, df in tables.items()}
+        version = version_of(digests)
+        if current == version:
+            return version, False
+        read = lambda name: spark.read.parquet(f"{root}/.staging-{own}/{name}")
         if check:
             check(read)
+        _create(spark, f"{root}/.journal/{own}.move.json", json.dumps({"until": until, "version": version}))
+        if _move(spark, root, own, version, digests):
+            moved = version
         manifest = {"schemaVersion": SCHEMA_VERSION, "datasetVersion": version, "files": {n: {"digest": d, "rows": r} for n, (d, r) in digests.items()}, **(facts or {})}
         now = read_manifest(spark, root)
         if (now["datasetVersion"] if now else None) != current:
             raise SnapshotError("BASELINE_MOVED", expected=current)
         _promote(spark, root, manifest, number)
+        moved = None
+        return version, True
     except Exception as e:
-        if not stored:
-            fs.delete(where, True)
         raise e if isinstance(e, SnapshotError) else SnapshotError("PROMOTION_FAILED", str(e)[:500]) from e
-    return version, True
+    finally:  # also on KeyboardInterrupt and SystemExit
+        if moved and moved not in _named(spark, root):
+            _remove(spark, f"{root}/version={moved}")
+        _forget(spark, root, own)
+
+
+def _stage(spark: SparkSession, path: str, df: DataFrame, partition: str | None) -> tuple[str, int]:
+    """Write one table; the digest of its rows as they were computed must be that of the rows read back."""
+    seen = Observation()
+    writer = df.observe(seen, *_sums(df.columns)).write.mode("errorifexists")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    want = _digest_of(seen.get)
+    if tuple(table_digest(spark.read.parquet(path).select(*df.columns)).first()) != want:
+        raise SnapshotError("INTEGRITY_DIGEST", table=path.rsplit("/", 1)[-1])
+    return want
+
+
+def _move(spark: SparkSession, root: str, own: str, version: str, digests: dict[str, tuple[str, int]]) -> bool:
+    """Give staged tables their version's name -> whether they were moved.
+
+    A folder of that name that a pointer names was published before; one that
+    none names was left by a killed publication, or another one is about to
+    publish the same content: it is adopted if it is whole and goes otherwise.
+    """
+    target = f"{root}/version={version}"
+    fs, where = _fs(spark, target)
+    if fs.exists(where):
+        if version in _named(spark, root) or _whole(spark, target, digests):
+            return False
+        fs.delete(where, True)
+    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/.staging-{own}"), where):
+        raise SnapshotError("PROMOTION_FAILED", "the tables could not be moved")
+    return True
+
+
+def _whole(spark: SparkSession, target: str, digests: dict[str, tuple[str, int]]) -> bool:
+    try:
+        return all(tuple(table_digest(spark.read.parquet(f"{target}/{name}")).first()) == want for name, want in digests.items())
+    except Exception:  # noqa: BLE001  a table that is missing or cannot be read
+        return False
 
 
 def export_json(df: DataFrame, path: str) -> None:

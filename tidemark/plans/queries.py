@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse, text
-from ..operators import converge, facets, filters, identity, integrity, quality, search
+from ..operators import converge, facets, filters, identity, integrity, positions, quality, search
 from .spec import CONFLICTED, UNPROVIDED
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,21 +230,34 @@ def topn_order(spark, d):
 @query("select user_id, row_number() over (order by m desc nulls last, user_id) as place from (select user_id, max(case when value >= 50 then ts::date end) as m from events group by 1)")
 def browse_all(spark, d):
     e = _events(spark, d).groupBy("user_id").agg(F.max(F.when(F.col("value") >= 50, F.col("day"))).alias("m"))
-    return e.select("user_id", F.row_number().over(Window.orderBy(F.col("m").desc_nulls_last(), "user_id")).cast("long").alias("place"))
+    placed = positions.with_positions(e, [F.col("m").desc_nulls_last(), F.col("user_id")], "place")
+    return placed.select("user_id", (F.col("place") + 1).alias("place"))
+
+
+@query("""with p as (select l_orderkey, l_linenumber, row_number() over (order by l_orderkey, l_linenumber) - 1 as place, row_number() over (order by l_shipdate, l_orderkey, l_linenumber) - 1 as want from lineitem)
+select l_orderkey, l_linenumber, want from p where want <> place""")
+def order_of_all(spark, d):
+    """Line items that an order by shipping date over the whole table would move."""
+    key = F.struct(F.col("l_shipdate"), "l_orderkey", "l_linenumber").alias("key")
+    lines = _t(spark, d, "lineitem").select(key, "l_orderkey", "l_linenumber")
+    moved = positions.misplaced(lines, "key", "l_orderkey", "l_linenumber")
+    return moved.select("key.l_orderkey", "key.l_linenumber", "want")
 
 
 @query("""with k as (select doc_id, 't' || substr(sha256('P:' || doc_id::varchar), 1, 16) as tid, sha256(text) as h from documents)
 select doc_id, tid, substr(tid, 2, 2) as shard, tid || 'r' || substr(h, 1, 16) || '#0' as rid from k""")
 def content_ids(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    out = docs.withColumn("tid", identity.entity_id(F.concat(F.lit("P:"), F.col("doc_id").cast("string"))))
-    return out.select("doc_id", "tid", identity.shard_of(F.col("tid")).alias("shard"), F.concat("tid", F.lit("r"), F.substring("h", 1, 16), F.lit("#0")).alias("rid"))
+    h = F.sha2(F.col("text").cast("binary"), 256)
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", h.alias("h"))
+    keyed = identity.assign_keys(docs.withColumn("canon", F.concat_ws(":", "id", "h")), "id")
+    rid = F.concat("tid", F.lit("r"), F.substring("h", 1, 16), F.lit("#"), F.substring_index("rid", "#", -1))
+    return keyed.select("doc_id", "tid", identity.shard_of(F.col("tid")).alias("shard"), rid.alias("rid"))
 
 
 @query("select doc_id, row_number() over (partition by text order by doc_id) - 1 as ordinal from documents")
 def dup_ordinals(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    return identity.ordinals(docs, ["h"], "ordinal", ["doc_id"]).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"))
+    return positions.ordinals(docs, ["h"], ["doc_id"]).select("doc_id", "ordinal")
 
 
 LOOSE = "case when regexp_replace(text, '[^0-9A-Za-z]', '', 'g') <> '' then sha256(upper(regexp_replace(text, '[^0-9A-Za-z]', '', 'g'))) else '' end"
@@ -287,6 +300,12 @@ def unicode_digits(spark, d):
     return _t(spark, d, "part").select("p_partkey", found["typed"]["lo"].alias("size"), F.date_format(parse.calendar_date(script(day)), "yyyy-MM-dd").alias("day"))
 
 
+@query(f"""with g as (select {LOOSE} as loose, doc_id from documents where {LOOSE} <> '') select doc_id as key, loose, min(doc_id) over (partition by loose) as representative,
+  count(*) over (partition by loose) - 1 as others from g qualify count(*) over (partition by loose) > 1""")
+def near_members(spark, d):
+    return identity.near_members(_t(spark, d, "documents").select("doc_id", _loose().alias("loose")), F.col("loose"), "doc_id")
+
+
 NORM = "upper(regexp_replace(url, '[0-9]', '', 'g'))"
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.build import build
 from ..plans.publish import publish
 from ..plans.spec import SnapshotSpec
+from ..staging import Staging
 
 
 def follow(rows: DataFrame, spec: SnapshotSpec, root: str, checkpoint: str, build_date: Callable[[int], dt.date]) -> StreamingQuery:
@@ -19,7 +20,10 @@ def follow(rows: DataFrame, spec: SnapshotSpec, root: str, checkpoint: str, buil
     def step(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        tables = build(batch, spec, build_date(number))
-        publish(batch.sparkSession, root, tables, partitions={"records": "shard"})
+        run = Staging(batch.sparkSession)
+        try:
+            publish(batch.sparkSession, root, build(batch, spec, build_date(number), run), partitions={"records": "shard"})
+        finally:
+            run.close()
 
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
