@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import staging
 from ..functions import parse, text
 from ..operators import converge, facets, filters, identity, integrity, positions, quality, search
-from .spec import CONFLICTED, UNPROVIDED
+from ..sources.strict_csv import read_csv_strict
+from .spec import CONFLICTED, UNPROVIDED, SnapshotSpec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -471,6 +473,31 @@ def card_category(spark, d):
     return _t(spark, d, "part").select("p_partkey", c.alias("category"), F.substring(F.sha2(F.col("p_brand").cast("binary"), 256), 1, 2).alias("shard"))
 
 
+CSV = SnapshotSpec(columns=("doc_id", "text", "source"), identity="doc_id", updated="source")
+
+
+@query("select doc_id::varchar as doc_id, sha256(coalesce(text, '')) as text_sha256, source from documents")
+def strict_csv(spark, d):
+    """Documents written as CSV, line ends and quotes in them, and read back by the strict reader."""
+    run = staging.lasting(spark)
+    path, q = run.path("documents"), lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), q(F.coalesce("text", F.lit(""))), q(F.col("source")))
+    rows = _t(spark, d, "documents").select(line.alias("value"))
+    # Each file has a header line: it leads the rows of its task.
+    head = ",".join(CSV.columns)
+    rows.mapInArrow(lambda batches: _led_by(head, batches), "value string").write.text(path)
+    found = read_csv_strict(spark, path, CSV, run)
+    return found.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "source")
+
+
+def _led_by(head, batches):
+    import pyarrow as pa
+
+    yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], ["value"])
+
+
 #: The flagship: cohort, conflicts and facet of what users did last.
 FLAGSHIP = COHORT + """, r as (select user_id, case when count(distinct event_type) > 1 then '__conflicted__' else min(event_type) end as v from c group by 1)
 select 'event_type' as facet, case when v = '__conflicted__' then 'conflicted' else 'bucket' end as kind, case when v <> '__conflicted__' then v end as value, count(*) as count from r group by 2, 3"""

@@ -106,18 +106,10 @@ def read_snapshot(spark: SparkSession, body: bytes, spec: SnapshotSpec, zipped:
 
 
 def read_csv_files(spark: SparkSession, path: str, spec: SnapshotSpec) -> DataFrame:
-    """Many large CSV files with CRLF line ends, read in parallel; ragged rows raise when used.
+    """CSV files of any size, read in parallel and as strictly as read_snapshot reads one."""
+    from .strict_csv import read_csv_strict
 
-    The header of each file must equal the columns in order, and is enforced by Spark.
-    """
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    schema = StructType([*(StructField(c, StringType()) for c in spec.columns), StructField("_bad", StringType())])
-    options = {"header": "true", "enforceSchema": "false", "multiLine": "true", "escape": '"', "lineSep": "\r\n", "encoding": "UTF-8", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    df = spark.read.options(**options).schema(schema).csv(path)
-    bad = F.when(F.col("_bad").isNotNull(), F.raise_error(F.concat(F.lit("ROW_WIDTH: "), "_bad")).cast("string"))
-    return df.select(*(F.coalesce(bad, F.col(f"`{c}`"), F.lit("")).alias(c) for c in spec.columns))
+    return read_csv_strict(spark, path, spec)
 
 
 def read_zip_files(spark: SparkSession, path: str, spec: SnapshotSpec) -> DataFrame:
