@@ -63,3 +63,18 @@ def test_a_long_document_leaves_room_for_the_others(spark):
     # of the long one, pieces of its beginning, middle and end
     own = [k for k in range(4000) if f" long{name(k)} " in text]
     assert min(own) < 100 and max(own) > 3900 and any(1500 < x < 2500 for x in own)
+
+
+def test_every_labelled_language_is_learnt(spark):
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 70)]
+    rows = [(k * 4 + j, f"{a * (3 + j)} {a}{a} ", f"l{k:02d}") for k, a in enumerate(alphabet) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(f"l{k:02d}", a * 5) for k, a in enumerate(alphabet)], "want string, text string")
+    got = predict_language(asked, df).collect()
+    assert {r.lang_pred for r in got} == {f"l{k:02d}" for k in range(70)} and all(r.want == r.lang_pred for r in got)
+
+
+def test_repeated_labelled_rows_are_one(spark):
+    rows = [(1, "abc " * 20, "x")] * 500 + [(1, "abd " * 20, "x"), (2, "xyz " * 20, "y"), (None, "qqq " * 50, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert [k for k, _ in training_texts(df)] == ["x", "y"] and training_texts(df) == training_texts(df.orderBy("text", ascending=False))

@@ -97,3 +97,71 @@ def test_places_follow_passes_and_permute_blocks(spark):
     assert max(ends["small", 0])[0] <= min(ends["small", 1])[0]
     order = lambda p: [b for _, b in sorted(set(ends["small", p]))]
     assert sorted(order(0)) == sorted(order(1)) and order(0) != order(1) and order(0) != sorted(order(0))
+
+
+def plain(rows, epochs, blocks, budget, hash_of, turn_of):
+    """(doc_id, pass) of every use, document by document: whole passes, then the blocks of a permutation up to the budget, cut by hashes."""
+    out = Counter()
+    for src, own in rows.items():
+        whole = math.floor(epochs[src] + 1e-9)
+        for i, _ in own:
+            for k in range(whole):
+                out[i, k] += 1
+        by = defaultdict(list)
+        for i, n in own:
+            by[hash_of[i, "block"] % blocks[src]].append((hash_of[i, "h"], i, n))
+        before = 0
+        for block in sorted(by, key=lambda b: (turn_of[b], b)):
+            for _, i, n in sorted(by[block]):
+                if before < budget[src]:
+                    out[i, whole] += 1
+                before += n
+    return out
+
+
+def test_uses_equal_a_plain_version(spark, monkeypatch):
+    import tidemark.llm.mixing as m
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(m, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(m, "STRETCH_BITS", 2)
+    own = [(i, " ".join(["w"] * (1 + i * 7 % 50)), "abc"[i % 6 % 3] if i % 4 else "a", 1, "p", "s") for i in range(600)]
+    df = spark.createDataFrame(own, SCHEMA)
+    h = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(17))
+    hash_of = {}
+    for r in df.select("doc_id", h.alias("h"), F.xxhash64(h, F.lit(1)).alias("b")).collect():
+        hash_of |= {(r.doc_id, "h"): r.h, (r.doc_id, "block"): r.b}
+    turn_of = {r.id: r.t for r in spark.range(1000).select("id", F.xxhash64("id", F.lit(17)).alias("t")).collect()}
+    by, tokens = defaultdict(list), Counter()
+    for i, t, s, *_ in own:
+        by[s].append((i, len(t.split())))
+        tokens[s] += len(t.split())
+    x = max(exponent_for_entropy(tokens, 0.99999), exponent_for_repeats(tokens, 4.0))
+    w = weights(tokens, x)
+    total = max(v / w[k] for k, v in tokens.items())
+    epochs = {k: w[k] * total / tokens[k] for k in tokens}
+    budget = {k: round((epochs[k] - math.floor(epochs[k] + 1e-9)) * tokens[k]) for k in tokens}
+    got = mix_sources(df, entropy_share=0.99999, most_repeats=4.0).collect()
+    want = plain(by, epochs, {k: max(1, v // 300) for k, v in tokens.items()}, budget, hash_of, turn_of)
+    assert x < 1 and Counter((r.doc_id, r["pass"]) for r in got) == want
+    assert all(r.block == hash_of[r.doc_id, "block"] % max(1, tokens[r.source] // 300) for r in got)
+    ends = defaultdict(set)
+    for r in got:
+        ends[r.source, r["pass"], r.block].add(r.place)
+    assert all(len(v) == 1 for v in ends.values())  # a block of a pass stands in one place
+    for (s, k, _), v in ends.items():
+        assert k / max(epochs[s], k + 1) - 1e-9 <= min(v) <= 1
+
+
+def test_query_mixes_at_every_size(spark):
+    from tidemark.llm.queries import op7_mixing
+
+    for sf in ("sf0.001", "sf0.01"):
+        rows = op7_mixing(spark, f"/root/testdata/{sf}").collect()
+        times = Counter(r.doc_id for r in rows)
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        assert set(times) == {r.doc_id for r in docs.select("doc_id").collect()} and max(times.values()) > 1
+        tokens = Counter()
+        for r in docs.select("source", "text").collect():
+            tokens[r.source] += len((r.text or "").split())
+        assert max(exponent_for_entropy(tokens, 0.99999), exponent_for_repeats(tokens, 4.0)) < 0.9

@@ -57,3 +57,17 @@ def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == [(1, 0, 1, True)]
     assert run(spark, [(1, [1.0])]) == [(1, 0, 1, True)]
+
+
+def test_vectors_with_one_id_do_not_depend_on_their_order(spark):
+    from tidemark.llm.ann_tree import search
+    from pyspark.sql import functions as F
+
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (1, [0.0, 0.0]), (3, [0.5, 0.5])]
+    found, near = [], []
+    for own in (rows, rows[::-1]):
+        df = spark.createDataFrame(own, "vec_id long, embedding array<double>").coalesce(1)
+        found.append(sorted(map(tuple, near_vectors(df, 0.95).collect())))
+        near.append(sorted(map(tuple, search(df, F.col("vec_id") == 2, k=3).collect())))
+    assert found[0] == found[1] == [(1, 0, 1, True), (1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)]
+    assert near[0] == near[1] == [(2, 1, 3, 0.5)]

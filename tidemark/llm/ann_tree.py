@@ -8,8 +8,9 @@ number is calibrated: a bounded set of queries is answered exactly over all
 vectors, and visits are widened until their mean recall reaches the target.
 
 Defined results: a vector that is null, empty, all zero, or holds a null or a
-non-finite component takes no part; a shorter vector counts as padded with
-zeros; a query meets every row but those with its own vec_id; fewer candidates
+non-finite component takes no part; of several vectors with one vec_id the
+smallest counts, compared element by element; a shorter vector counts as
+padded with zeros; a query meets every row but those with its own vec_id; fewer candidates
 than k give fewer rows; ties go to the smaller vec_id; repeated rows of one
 vec_id are one; other columns are ignored.
 """
@@ -224,7 +225,7 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 20, target: float = T
     """vectors (vec_id, embedding); queries: which rows ask -> query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.where("vec_id is not null and embedding is not null and size(embedding) > 0").dropDuplicates(["vec_id"])
+    rows = rows.where("vec_id is not null and embedding is not null and size(embedding) > 0").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))  # of several vectors with one id the smallest, element by element
     width = rows.agg(F.max(F.size("embedding"))).first()[0]
     if not width:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -26,14 +26,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import staged
 from .words import CACHES, trimmed
 
 UNKNOWN = "und"
 #: Bound of the labelled text behind one automaton, in characters, and of the documents it is drawn from.
 TRAIN_CHARS = 24_000
 TRAIN_DOCS = 64
-#: Languages that are learnt: those with the most labelled documents, ties in code-point order.
-MOST_LANGS = 64
+#: Bound of the labelled text behind all automata; with more than 64 languages each gets its part of it.
+ALL_CHARS = 64 * TRAIN_CHARS
 #: A document is parsed in stretches of this many characters; all count.
 STRETCH = 512
 #: Stretches that walk together.
@@ -230,20 +231,22 @@ def training_texts(labelled: DataFrame, chars: int = TRAIN_CHARS, docs: int = TR
     labelled: doc_id, text, lang.  Only ids and sizes are compared to choose;
     the chosen texts alone reach the driver.  The bound is shared: what short
     documents leave goes to the longer ones, each of which gives pieces from
-    all over its text.
+    all over its text.  Every language with a labelled text is learnt; of rows
+    with one doc_id and language the smallest text counts, and rows without a
+    doc_id are not learnt from.
     """
     rows = labelled.where("lang is not null and text is not null and doc_id is not null")
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
-    rows = rows.join(F.broadcast(langs.select("lang")), "lang", "left_semi")
     draw = rows.select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)).alias("h"))
     drawn = draw.groupBy("lang", F.pmod("h", F.lit(docs)).alias("slot")).agg(F.min_by("doc_id", "h").alias("doc_id"))
     ids = sorted({r.doc_id for r in drawn.select("doc_id").collect()})
     if not ids:
         return []
-    chosen = rows.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", "text", F.char_length("text").alias("size"))
+    chosen = rows.where(F.col("doc_id").isin(ids)).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).withColumn("size", F.char_length("text"))
+    chosen = staged(chosen, "labelled")  # at most ``docs`` rows a language
     sizes: dict[str, list[int]] = {}
     for r in chosen.select("lang", "size").collect():
         sizes.setdefault(r.lang, []).append(r.size)
+    chars = max(1, min(chars, ALL_CHARS // len(sizes)))
     levels = {k: _level(v, chars) for k, v in sizes.items()}
     level = F.create_map(*(F.lit(x) for pair in levels.items() for x in pair))[F.col("lang")]
     picked = chosen.select("lang", "doc_id", _spread(F.col("text"), F.col("size"), level).alias("text")).collect()

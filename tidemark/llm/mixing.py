@@ -36,6 +36,8 @@ ADDED = ("pass", "block", "place")
 
 #: Tokens of one block of the permutation, about.
 BLOCK_TOKENS = 200_000
+#: A source's permutation is summed in 2 ** STRETCH_BITS stretches first.
+STRETCH_BITS = 12
 #: How much oftener than another source one may be used where an entropy is the target.
 MOST_REPEATS = 16.0
 #: Sources up to this count are broadcast (about 100 bytes each); the driver holds a row a source, MOST_SOURCES at most.
@@ -91,6 +93,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], [*batch.schema.names[:-1], "tokens"])
 
 
+def _before(sums: DataFrame, turn: F.Column) -> DataFrame:
+    """s, block, left, t and the tokens of the blocks before each in its source's permutation.
+
+    A source's blocks are summed in stretches of the permutation first, so no
+    task sees all blocks of a source.
+    """
+    sums = sums.withColumn("turn", turn).withColumn("stretch", F.shiftright("turn", 64 - STRETCH_BITS))
+    earlier = lambda *by: Window.partitionBy("s", *by[:-1]).orderBy(*by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.groupBy("s", "stretch").agg(F.sum("t").alias("t")).withColumn("base", F.coalesce(F.sum("t").over(earlier(["stretch"])), F.lit(0))).drop("t")
+    inside = sums.withColumn("inside", F.coalesce(F.sum("t").over(earlier("stretch", ["turn", "block"])), F.lit(0)))
+    return inside.join(base, ["s", "stretch"]).withColumn("before", F.col("base") + F.col("inside"))
+
+
 def mix_sources(docs: DataFrame, repeats: float = 1.5, entropy_share: float | None = None, budget: int | None = None, seed: int = 17, most_repeats: float = MOST_REPEATS) -> DataFrame:
     """docs (doc_id, text, source, ...) -> the same columns, pass (0, 1, ...), block and place, a row for each use of a document.
 
@@ -132,8 +147,7 @@ def mix_sources(docs: DataFrame, repeats: float = 1.5, entropy_share: float | No
     # Blocks in hash order are the permutation; their running sums find the block where a source's budget ends.
     placed = counted.join(plan, "s").where("left > 0").withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), F.col("blocks")))
     sums = placed.groupBy("s", "block", "left").agg(F.sum("tokens").alias("t"))
-    order = Window.partitionBy("s").orderBy(F.xxhash64("block", F.lit(seed)), "block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("t").over(order), F.lit(0))).where("before < left").select("s", "block", "before", (F.col("before") + F.col("t") <= F.col("left")).alias("full"))
+    sums = _before(sums, F.xxhash64("block", F.lit(seed))).where("before < left").select("s", "block", "before", (F.col("before") + F.col("t") <= F.col("left")).alias("full"))
     near = placed.join(sums, ["s", "block"])
     inner = Window.partitionBy("s", "block").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     cut = near.where("not full").withColumn("at", F.col("before") + F.coalesce(F.sum("tokens").over(inner), F.lit(0))).where("at < left").select("s", "h")

@@ -12,7 +12,7 @@ apart are never formed.
 Defined results: a vector that is null, empty, all zero, or holds a null or a
 non-finite component links with nothing; a shorter vector counts as padded
 with zeros; repeated rows of one vec_id keep a row each and count each other
-only as one vector; other columns are ignored; a null vec_id links with nothing.
+only as one vector, the smallest of them, compared element by element; other columns are ignored; a null vec_id links with nothing.
 """
 
 from __future__ import annotations
@@ -170,7 +170,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
     dtype, item = ("<f4", "float") if single else ("<f8", "double")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{item}>").alias("embedding"))
-    live = rows.where("vec_id is not null and embedding is not null and size(embedding) > 0").dropDuplicates(["vec_id"])
+    live = rows.where("vec_id is not null and embedding is not null and size(embedding) > 0").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))  # of several vectors with one id the smallest, element by element
     width, total = rows.agg(F.max(F.size("embedding")), F.count(F.lit(1))).first()
     width = width or 0
     if width <= 0:

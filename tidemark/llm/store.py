@@ -1,64 +1,38 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables of operators, in the folder that driver and executors share.
+
+Tables belong to the run that is current in this thread, so that what one run
+drops is nothing that another one, beside it or around it, has staged.
+"""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one is set only where none is (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from ..staging import Staging, lasting, shared_dir
 
+__all__ = ["own_tables", "shared_dir", "staged"]
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame once and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{os.getpid()}/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(release)
-    _made.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+_current: ContextVar[Staging | None] = ContextVar("tables", default=None)
 
-def mark() -> int:
-    """A point in time for release_since()."""
-    return len(_made)
 
+@contextmanager
+def own_tables(spark: SparkSession) -> Iterator[Staging]:
+    """What is staged inside belongs to the run given back; close(keep) drops all but the last tables, the end of the process the rest."""
+    run = lasting(spark)
+    token = _current.set(run)
+    try:
+        yield run
+    finally:
+        _current.reset(token)
 
-def release_since(start: int, keep: int = 0) -> None:
-    """Remove what was staged since then, all but the last ``keep`` tables; frames that read the others end here."""
-    last = _made[max(start, len(_made) - keep) :] if keep else []
-    old = _made[start : len(_made) - len(last)]
-    del _made[start:]
-    _remove(old)
-    _made.extend(last)
 
-
-def release() -> None:
-    """Remove all staged tables; frames that read them end here."""
-    _remove(_made)
-    _made.clear()
-
-
-def _remove(tables: list[tuple[SparkSession, str]]) -> None:
-    for spark, path in reversed(tables):
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may have ended before the interpreter
-            continue
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame once and read it back: cuts the lineage and survives lost executors."""
+    run = _current.get()
+    if run is None or run.spark is not df.sparkSession:
+        run = lasting(df.sparkSession)
+    return run.table(df, name)
