@@ -11,7 +11,7 @@ from tidemark.llm.near_text import near_duplicates
 from tidemark.llm.queries import TOKENIZERS
 from tidemark.llm.repeats import remove_repeats
 from tidemark.llm.sentencepiece import encode_and_check
-from tidemark.llm.store import mark, release_since, staged
+from tidemark.llm.store import own_tables, staged
 
 #: Words of a passage that is removed where it repeats.
 PASSAGE = 50
@@ -77,12 +77,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    start = mark()
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = staged(docs, f"stage{k}")
-            release_since(start, keep=1)  # what the stage and the one before it left
+    with own_tables(spark) as tables:
+        for k, (_, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k + 1 < len(STAGES):
+                docs = staged(docs, f"stage{k}")
+                tables.close(keep=1)  # what the stage and the one before it left
     return docs
 
 
