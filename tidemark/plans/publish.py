@@ -230,6 +230,22 @@ def publish(
     check(read) raises if the written tables, read back by name, break a rule.
     lease: seconds that this publication may take before recover() counts it as killed.
     """
+    digests: dict[str, tuple[str, int]] = {}
+
+    def write(path: str) -> tuple[str, dict]:
+        digests.update({name: _stage(spark, f"{path}/{name}", df, (partitions or {}).get(name)) for name, df in tables.items()})
+        return version_of(digests), {"files": {n: {"digest": d, "rows": r} for n, (d, r) in digests.items()}, **(facts or {})}
+
+    return publish_files(spark, root, write, lambda path, _: _whole(spark, path, digests), check=check, expect=expect, lease=lease)
+
+
+def publish_files(spark: SparkSession, root: str, write, whole, *, check=None, expect: str | None = "", lease: float = LEASE) -> tuple[str, bool]:
+    """The steps of a publication of any files.
+
+    write(path) puts them there and gives (version, what the manifest says of
+    them); whole(path, manifest) says whether a folder left by another
+    publication holds just that.
+    """
     recover(spark, root)
     number = max((n for n, _ in _pointers(spark, root)), default=0) + 1
     before = read_manifest(spark, root)
@@ -238,19 +254,18 @@ def publish(
         raise SnapshotError("BASELINE_MOVED", expected=expect, found=current)
     own, moved = uuid.uuid4().hex, None
     until = time.time() + lease
+    staging = f"{root}/.staging-{own}"
     try:
         _create(spark, f"{root}/.journal/{own}.json", json.dumps({"until": until}))
-        digests = {name: _stage(spark, f"{root}/.staging-{own}/{name}", df, (partitions or {}).get(name)) for name, df in tables.items()}
-        version = version_of(digests)
+        version, facts = write(staging)
         if current == version:
             return version, False
-        read = lambda name: spark.read.parquet(f"{root}/.staging-{own}/{name}")
         if check:
-            check(read)
+            check(lambda name: spark.read.parquet(f"{staging}/{name}"))
         _create(spark, f"{root}/.journal/{own}.move.json", json.dumps({"until": until, "version": version}))
-        if _move(spark, root, own, version, digests):
+        manifest = {"schemaVersion": SCHEMA_VERSION, "datasetVersion": version, **facts}
+        if _move(spark, root, own, version, lambda path: whole(path, manifest)):
             moved = version
-        manifest = {"schemaVersion": SCHEMA_VERSION, "datasetVersion": version, "files": {n: {"digest": d, "rows": r} for n, (d, r) in digests.items()}, **(facts or {})}
         now = read_manifest(spark, root)
         if (now["datasetVersion"] if now else None) != current:
             raise SnapshotError("BASELINE_MOVED", expected=current)
@@ -276,7 +291,7 @@ def _stage(spark: SparkSession, path: str, df: DataFrame, partition: str | None)
     return want
 
 
-def _move(spark: SparkSession, root: str, own: str, version: str, digests: dict[str, tuple[str, int]]) -> bool:
+def _move(spark: SparkSession, root: str, own: str, version: str, whole) -> bool:
     """Give staged tables their version's name -> whether they were moved.
 
     A folder of that name that a pointer names was published before; one that
@@ -286,7 +301,7 @@ def _move(spark: SparkSession, root: str, own: str, version: str, digests: dict[
     target = f"{root}/version={version}"
     fs, where = _fs(spark, target)
     if fs.exists(where):
-        if version in _named(spark, root) or _whole(spark, target, digests):
+        if version in _named(spark, root) or whole(target):
             return False
         fs.delete(where, True)
     if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/.staging-{own}"), where):
