@@ -118,12 +118,3 @@ def search_normalize_text(q: str) -> str:
 
 def identity_normalize_text(x: str) -> str:
     return _nfkc(x.strip()).upper()
-
-
-def ascii_search(c: Column) -> Column:
-    """search_normalize for text whose only non-ASCII folding is that of the sharp s, but for its white space.
-
-    What is searched for holds no white space (parse_query splits at it), so
-    whether a text contains it does not depend on stripping or collapsing.
-    """
-    return F.lower(F.replace(F.coalesce(c, F.lit("")), F.lit("ß"), F.lit("ss")))

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from .. import staging
 from ..functions import parse, text
-from ..operators import converge, facets, filters, identity, integrity, positions, quality, search
+from ..operators import converge, facets, filters, identity, integrity, intervals, positions, quality, search, trigrams
 from ..sources.strict_csv import read_csv_strict
 from .spec import CONFLICTED, UNPROVIDED, SnapshotSpec
+from .stored import document_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -140,6 +141,17 @@ def period_overlap(spark, d):
     return filters.apply_filters(spans, state, columns)
 
 
+@query("""with m as (select distinct date_trunc('month', o_orderdate)::date as first from orders),
+s as (select o_orderkey, o_orderdate::date as started, max(l_shipdate)::date as ended from orders join lineitem on l_orderkey = o_orderkey group by 1, 2 having max(l_shipdate)::date >= o_orderdate::date)
+select first, count(*) as orders from m join s on started <= last_day(first) and ended >= first group by 1""")
+def interval_join(spark, d):
+    """Orders under way in each month that has orders."""
+    months = _t(spark, d, "orders").select(F.to_date(F.trunc("o_orderdate", "month")).alias("first")).distinct().withColumn("last", F.last_day("first"))
+    last = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.to_date(F.max("l_shipdate")).alias("ended"))
+    spans = _t(spark, d, "orders").join(last, F.col("l_orderkey") == F.col("o_orderkey")).select(F.to_date("o_orderdate").alias("started"), "ended")
+    return intervals.overlap_join(spans, months, ("started", "ended"), ("first", "last")).groupBy("first").agg(F.count(F.lit(1)).alias("orders"))
+
+
 @query("select event_id, ts::date as day from events where ts::date between (select min(ts)::date + 3 from events) and date '2099-12-31' and ts::date >= date '2024-01-05'")
 def updated_between(spark, d):
     e = _events(spark, d)
@@ -178,10 +190,6 @@ FOLD = "replace(lower({}), 'ß', 'ss')"
 TERMS = ["tion", "the", "src1"]
 
 
-def _entries(spark, d):
-    return search.folded(_t(spark, d, "documents"), {c: text.ascii_search(F.col(c)) for c in ("text", "source", "lang")}, "doc_id")
-
-
 SEARCHED = f"with s as (select doc_id, trim(regexp_replace({FOLD.format('text')}, '[\\x09-\\x0d\\x1c-\\x20]+', ' ', 'g')) as text, {FOLD.format('source')} as source, {FOLD.format('lang')} as lang from documents) "
 
 
@@ -195,17 +203,24 @@ def _hit(f: str) -> str:
 
 @query(SEARCHED + f"select doc_id from s where {' and '.join(map(_any, TERMS))}")
 def search_terms(spark, d):
-    e = _entries(spark, d)
-    return search.search_records(e, {c: F.col(c) for c in ("text", "source", "lang")}, TERMS, "doc_id", "doc_id").select(F.col("entity").alias("doc_id"))
+    return trigrams.find(spark, document_index(spark, d), TERMS).select("doc_id")
 
 
 @query(SEARCHED + f"select doc_id, concat_ws(',', {_hit('text')}, {_hit('source')}, {_hit('lang')}) as hit_fields from s where {' and '.join(map(_any, TERMS))}")
 def search_hit_fields(spark, d):
-    e = _entries(spark, d)
-    hits = search.search_records(e, {c: F.col(c) for c in ("text", "source", "lang")}, TERMS, "doc_id", "doc_id")
+    hits = trigrams.search_index(spark, document_index(spark, d), TERMS)
     return hits.select(F.col("entity").alias("doc_id"), F.array_join("hit_fields", ",").alias("hit_fields"))
 
 
+RARE = ["license", "the"]
+
+
+@query(SEARCHED + f"select doc_id from s where {' and '.join(map(_any, RARE))}")
+def search_rare(spark, d):
+    """A rare term beside a common one: the rare one narrows the search."""
+    return trigrams.find(spark, document_index(spark, d), RARE).select("doc_id")
+
+
 @query("""select conv_id, count(*) as n_records, string_agg(turn::varchar, ',' order by turn) as turns from conversations where contains(lower(text), 'tion') and contains(lower(text), 'wh') and contains(lower(text), 'the') group by 1""")
 def search_record_and(spark, d):
     c = _t(spark, d, "conversations").select("conv_id", "turn", F.lower("text").alias("text"))
@@ -452,7 +467,8 @@ def url_params(spark, d):
 
 @query(f"select doc_id from documents where contains({FOLD.format('text')}, 'strasse') or contains({FOLD.format('text')}, 'ss')")
 def nfkc_search(spark, d):
-    return _t(spark, d, "documents").where(text.search_normalize(F.col("text")).contains("ss")).select("doc_id")
+    index = document_index(spark, d)
+    return spark.read.parquet(f"{index.root}/folded").where(F.col("text").contains("ss")).select("doc_id")
 
 
 @query("select doc_id, upper(trim(source)) as norm, upper(regexp_replace(source, '[^0-9A-Za-z]', '', 'g')) as loose, source as facet, regexp_matches(source, '[0-9A-Za-z]') as named from documents")
