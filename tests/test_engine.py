@@ -279,7 +279,7 @@ def test_urls():
     state, errors = parse_url(url)
     assert not errors and build_url(state) == url and build_url(parse_url(build_url(state))[0]) == url
     bad, errors = parse_url("?updated=2024-02-01..2024-01-01&history=never&period=__conflicted__")
-    assert errors == [("updated", "2024-02-01..2024-01-01"), ("history", "never")] and bad.filters.active("updated") and bad.history == "latest"
+    assert errors == [("updated", "2024-02-01..2024-01-01"), ("history", "never"), ("period", "__conflicted__")] and bad.filters.active("updated") and bad.history == "latest"
     assert build_url(QueryState()) == "" and QueryState().browsing() and not state.browsing()
 
 
@@ -435,3 +435,59 @@ def test_special_enrolment(spark):
     assert {r.id: r.l for r in rows.select("id", labels.alias("l")).collect()} == {1: ["1-10", "11-30"], 2: ["__unprovided__"], 3: ["__conflicted__"], 4: ["0"]}
     counted = {r.bucket: r["count"] for r in facets.bucket_counts(rows, F.col("lo"), F.col("hi"), conflict=F.col("conflict")).collect()}
     assert counted == {"1-10": 1, "11-30": 1, "__unprovided__": 1, "__conflicted__": 1, "0": 1}
+
+
+def test_addresses_of_identifiers(tables):
+    from tidemark.plans.urlstate import resolve_protocol
+
+    state, errors = parse_url("?protocol=abc-1%20&q=x")
+    found, wrong = resolve_protocol(state, tables["trials"])
+    assert (found.trial, found.protocol, wrong, errors) == (trial(tables, "ABC-1").tid, None, [], []) and build_url(found).endswith(f"trial={found.trial}")
+    for raw, outcome in (("zz-9", "notFound"), ("--", "rejected")):
+        state, wrong = resolve_protocol(parse_url(f"?protocol={raw}")[0], tables["trials"])
+        assert (state.protocol, state.trial, wrong) == (None, None, [("protocol", outcome)])
+    assert resolve_protocol(QueryState(), tables["trials"]) == (QueryState(), [])
+
+
+def test_hits_outside_the_cohort_name_their_days(spark):
+    hits = spark.createDataFrame([("t1", "r1", dt.date(2024, 1, 2), ["b"]), ("t1", "r2", dt.date(2023, 1, 1), ["a"]), ("t1", "r3", None, ["c"]), ("t2", "r4", None, ["a"])], "entity string, record string, day date, hit_fields array<string>")
+    cohort = spark.createDataFrame([("r1",), ("r4",)], "rid string")
+    got = {r.entity: (r.fields, r.days, r.undated) for r in search.hit_days(hits, cohort).collect()}
+    assert got == {"t1": (["a", "b", "c"], [dt.date(2023, 1, 1)], True), "t2": (["a"], [], False)}
+
+
+def test_truncated_ids_that_collide_raise(spark):
+    rows = spark.createDataFrame([("t1", "P:a", "r1", "h1"), ("t1", "P:a", "r2", "h2"), ("t2", "P:b", "r3", "h3")], "tid string, key string, rid string, hash string")
+    identity.require_no_truncation(rows)
+    for bad in (("t1", "P:other", "r9", "h9"), ("t9", "P:z", "r1", "h9")):
+        with pytest.raises(SnapshotError) as e:
+            identity.require_no_truncation(rows.union(spark.createDataFrame([bad], rows.schema)))
+        assert e.value.code.value == "ID_TRUNCATION_COLLISION" and e.value.detail["ids"] == [bad[0] if bad[0] == "t1" else "r1"]
+
+
+def test_source_date_and_copies(spark, tables, monkeypatch):
+    assert converge.source_updated_at(tables["trials"]).first()[0] == max(r.latest_date for r in tables["trials"].collect() if r.latest_date)
+    monkeypatch.setattr(identity, "COPIES", 3)
+    rows = spark.createDataFrame([("a", 1)] * 8 + [("b", 2)], "x string, y int")
+    assert sorted((r.x, r.y, r.n) for r in identity.numbered_copies(rows, ["x"], "n").collect()) == [("a", 1, k) for k in range(8)] + [("b", 2, 0)]
+
+
+def test_times_of_another_zone(spark):
+    from tidemark.functions import parse
+
+    df = spark.createDataFrame([("2024-05-01T20:30:00Z", dt.date(2024, 5, 1)), ("x", None)], "at string, day date")
+    got = df.select(F.date_format(parse.taipei_timestamp(F.col("at")), "yyyy-MM-dd HH:mm").alias("t"), parse.slash_date(F.col("day")).alias("d")).collect()
+    assert [(r.t, r.d) for r in got] == [("2024-05-02 04:30", "2024/05/01"), (None, None)]
+    assert parse.build_date_of(dt.datetime(2024, 5, 1, 20, tzinfo=dt.timezone.utc)) == dt.date(2024, 5, 2)
+
+
+def test_positions_of_ties_and_hot_groups(spark):
+    from tidemark.operators import positions
+
+    rows = spark.createDataFrame([("a", k) for k in range(500)] + [("b", 1), (None, 2)], "g string, k int").repartition(5)
+    placed = positions.with_positions(rows, [F.col("g").desc_nulls_last(), F.col("k")])
+    assert {(r.g, r.k): r.position for r in placed.collect()} == {("b", 1): 0, (None, 2): 501} | {("a", k): k + 1 for k in range(500)}
+    assert sorted(((r.g or "", r.k), r.ordinal) for r in positions.ordinals(rows, ["g"], ["k"]).collect()) == sorted([(("a", k), k) for k in range(500)] + [(("b", 1), 0), (("", 2), 0)])
+    assert positions.with_positions(rows.limit(0), [F.col("k")]).count() == 0
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan

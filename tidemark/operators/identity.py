@@ -88,9 +88,14 @@ def require_no_truncation(keyed: DataFrame) -> None:
         raise SnapshotError("ID_TRUNCATION_COLLISION", ids=sorted(bad))
 
 
+def _keyed(entities: DataFrame, loose: Column, name: str, key: str) -> DataFrame:
+    """Keys and non-empty loose keys; behind a generator, so that the loose key is not computed again for the condition."""
+    return entities.select(F.col(key).alias(name), F.inline(F.array(F.struct(loose.alias("loose"))))).where("loose <> ''")
+
+
 def near_groups(entities: DataFrame, loose: Column, key: str) -> DataFrame:
     """Loose keys shared by two or more entity keys: loose, keys.  A hint; it never merges."""
-    pairs = entities.select(loose.alias("loose"), F.col(key).alias("k")).where("loose <> ''").distinct()
+    pairs = _keyed(entities, loose, "k", key).distinct()
     return pairs.groupBy("loose").agg(F.array_sort(F.collect_list("k")).alias("keys")).where(F.size("keys") > 1)
 
 
@@ -99,7 +104,7 @@ def near_members(entities: DataFrame, loose: Column, key: str) -> DataFrame:
 
     A group of any size is its representative and its members' rows; no list is made of it.
     """
-    pairs = entities.select(F.col(key).alias("key"), loose.alias("loose")).where("loose <> ''").distinct()
+    pairs = _keyed(entities, loose, "key", key).distinct()
     groups = pairs.groupBy("loose").agg(F.min("key").alias("representative"), (F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
     return pairs.join(groups, "loose").select("key", "loose", "representative", "others")
 

@@ -251,14 +251,13 @@ def browse_all(spark, d):
     return placed.select("user_id", (F.col("place") + 1).alias("place"))
 
 
-@query("""with p as (select l_orderkey, l_linenumber, row_number() over (order by l_orderkey, l_linenumber) - 1 as place, row_number() over (order by l_shipdate, l_orderkey, l_linenumber) - 1 as want from lineitem)
-select l_orderkey, l_linenumber, want from p where want <> place""")
+@query("""with p as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as place, row_number() over (order by o_orderdate, o_orderkey) - 1 as want from orders)
+select o_orderkey, want from p where want <> place""")
 def order_of_all(spark, d):
-    """Line items that an order by shipping date over the whole table would move."""
-    key = F.struct(F.col("l_shipdate"), "l_orderkey", "l_linenumber").alias("key")
-    lines = _t(spark, d, "lineitem").select(key, "l_orderkey", "l_linenumber")
-    moved = positions.misplaced(lines, "key", "l_orderkey", "l_linenumber")
-    return moved.select("key.l_orderkey", "key.l_linenumber", "want")
+    """Orders that an order by date over the whole table would move."""
+    key = F.struct("o_orderdate", "o_orderkey").alias("key")
+    moved = positions.misplaced(_t(spark, d, "orders").select(key, "o_orderkey"), "key", "o_orderkey")
+    return moved.select("key.o_orderkey", "want")
 
 
 @query("""with k as (select doc_id, 't' || substr(sha256('P:' || doc_id::varchar), 1, 16) as tid, sha256(text) as h from documents)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from urllib.parse import parse_qsl, quote
 
-from ..operators.filters import CHOICES, RANGES, SPECIAL, FilterState, parse_range
+from pyspark.sql import DataFrame
+
+from ..operators.filters import CHOICES, RANGES, FilterState, parse_range
+from ..operators.identity import lookup
 
 #: Known parameters in canonical order, and the values of the scope.
 PARAMETERS = ("q", "trial", "protocol", "phase", "scale", "applicant", "enroll", "period", "updated", "fields", "history")
@@ -31,7 +34,11 @@ class QueryState:
 
 
 def parse_url(search: str) -> tuple[QueryState, list[tuple[str, str]]]:
-    """(state, errors as (parameter, value)).  A bad range stays as a condition that nothing meets; a bad scope falls back."""
+    """(state, errors as (parameter, value)).
+
+    A value that is no range stays as the condition it is and is an error, the
+    special values too, which no address is built with; a bad scope falls back.
+    """
     state, errors = QueryState(), []
     for key, value in parse_qsl(search.removeprefix("?"), keep_blank_values=True):
         if key in ("q", "trial", "protocol"):
@@ -40,7 +47,7 @@ def parse_url(search: str) -> tuple[QueryState, list[tuple[str, str]]]:
             state.filters.choices[key].append(value)
         elif key in RANGES:
             state.filters.ranges[key] = value
-            if parse_range(value) is None and value not in SPECIAL:
+            if parse_range(value) is None:
                 errors.append((key, value))
         elif key in SCOPE_VALUES:
             if value in SCOPE_VALUES[key]:
@@ -54,6 +61,19 @@ def parse_url(search: str) -> tuple[QueryState, list[tuple[str, str]]]:
     return state, errors
 
 
+def resolve_protocol(state: QueryState, trials: DataFrame) -> tuple[QueryState, list[tuple[str, str]]]:
+    """An address that names an identifier -> the state that names its entity instead, or what is wrong (rejected, notFound) with it.
+
+    Either way the identifier goes from the state, so nothing is searched by it.
+    """
+    if state.protocol is None:
+        return state, []
+    asked = trials.sparkSession.createDataFrame([(state.protocol,)], "raw string")
+    found = lookup(asked, trials).select("outcome", "tid").limit(1).collect()[0]
+    errors = [] if found.outcome == "match" else [("protocol", found.outcome)]
+    return replace(state, protocol=None, trial=found.tid if found.outcome == "match" else state.trial), errors
+
+
 def build_url(state: QueryState) -> str:
     pairs: list[tuple[str, str]] = []
     default = QueryState()
