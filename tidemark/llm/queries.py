@@ -49,8 +49,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = attribute_tokens(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", rule="start")
-    return found.select("doc_id", "n_tokens", "n_crossing", F.size("section_tokens").cast("long").alias("n_sections"), F.array_max("section_tokens").cast("long").alias("longest_section"),
-                        F.xxhash64("section_tokens").alias("sections_hash"))
+    return found.select("doc_id", "n_tokens", "n_crossing", F.size("section_tokens").cast("long").alias("n_sections"), F.col("section_tokens").cast("array<long>").alias("section_tokens"))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
