@@ -491,3 +491,55 @@ def test_positions_of_ties_and_hot_groups(spark):
     assert positions.with_positions(rows.limit(0), [F.col("k")]).count() == 0
     plan = placed._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SinglePartition" not in plan
+
+
+def test_fetching(monkeypatch):
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/slow":
+                time.sleep(2)
+            self.send_response(404 if self.path == "/none" else 200)
+            self.send_header("Content-Type", "application/zip")
+            self.send_header("Content-Length", "9" if self.path == "/cut" else "3")
+            self.end_headers()
+            self.wfile.write(b"zip")
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        got = snapshot.fetch(f"{at}/")
+        assert (got.status, got.content_type, got.length, got.body) == (200, "application/zip", 3, b"zip")
+        snapshot.validate_response(got)
+        assert snapshot.fetch(f"{at}/none").status == 404
+        for path, kw, code in (("/slow", {"read": 0.3}, "HTTP_TIMEOUT"), ("/cut", {}, "HTTP_TRUNCATED")):
+            with pytest.raises(SnapshotError) as e:
+                snapshot.fetch(at + path, **kw)
+            assert e.value.code.value == code
+        assert snapshot.fetch(f"{at}/slow", connect=0.5, read=5).status == 200  # a short bound for connecting does not bound the wait
+    finally:
+        server.shutdown()
+    with pytest.raises(SnapshotError) as e:
+        snapshot.fetch("http://127.0.0.1:9/", connect=0.5)
+    assert e.value.code.value == "HTTP_TRUNCATED"
+
+
+def test_parameters_of_a_column_equal_those_of_one_address(spark):
+    from urllib.parse import parse_qsl
+
+    from tidemark.plans.urlstate import parameters
+
+    rng = random.Random(3)
+    rows = ["x", "/?", "/?a", "/?a=1&a=2#b=3", "http://h/p?q=a%20b+c&&=x&phase=%E6%97%A5&k=a=b", "/?p=1?q=2"] + ["/?" + "".join(rng.choice("ab=&+%41") for _ in range(rng.randint(0, 14))).replace("%a", "a").replace("%b", "b") for _ in range(200)]
+    rows = [r for r in rows if "%" not in r.replace("%41", "").replace("%20", "").replace("%E6%97%A5", "")]
+    got = spark.createDataFrame([(r,) for r in rows], "u string").select("u", parameters(F.col("u")).alias("p")).collect()
+    for r in got:
+        query = r.u.split("#")[0].split("?", 1)[1] if "?" in r.u else ""
+        assert [tuple(x) for x in r.p] == parse_qsl(query, keep_blank_values=True), r.u

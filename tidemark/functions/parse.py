@@ -52,10 +52,14 @@ def _norm(raw: Column, norm: Column | None) -> Column:
     return plain_digits(nfkc(raw) if norm is None else norm)
 
 
+#: What may stand between the ends of a range.
+RANGE_SIGN = "[-~～〜–—]|至"
+
+
 def parse_numeric(raw: Column, norm: Column | None = None) -> Column:
     """Integers, closed ranges, and what is wrong with the rest; the first rule that fits wins."""
     v = strip(_norm(raw, norm))
-    pattern = rf"^([0-9]+)[{PY_SPACE}]*(?:[-~～〜–—]|至)[{PY_SPACE}]*([0-9]+)$"
+    pattern = rf"^([0-9]+)[{PY_SPACE}]*(?:{RANGE_SIGN})[{PY_SPACE}]*([0-9]+)$"
     whole, lo, hi = _digits(v), _digits(F.regexp_extract(v, pattern, 1)), _digits(F.regexp_extract(v, pattern, 2))
     bare = lambda g: F.regexp_replace(F.regexp_extract(v, pattern, g), "^0+(?=.)", "")
     # Digit strings compare by length, then by text; no size is too large.

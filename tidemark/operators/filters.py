@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.spec import CONFLICTED, UNPROVIDED
 
+#: Dimensions with choices, and those with a range.
 CHOICES = ("phase", "scale", "applicant", "enroll")
 RANGES = ("period", "updated")
 SPECIAL = (UNPROVIDED, CONFLICTED)

@@ -16,6 +16,7 @@ from ..functions import parse, text
 from ..operators import converge, facets, filters, identity, integrity, intervals, positions, quality, search, trigrams
 from ..sources.strict_csv import read_csv_strict
 from .spec import CONFLICTED, UNPROVIDED, SnapshotSpec
+from . import urlstate
 from .stored import document_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,10 +169,17 @@ def multi_dim_filter(spark, d):
     return filters.apply_filters(part, state, columns).select("p_partkey")
 
 
-@query("select p_partkey from part where false")
+@query("""select '2024-01-10..2024-01-20' as range, count(*) as matches from events where ts::date between date '2024-01-10' and date '2024-01-20'
+union all select r, 0 from (values ('2024-01-20..2024-01-10'), ('2024-01-10'), ('2024-02-30..2024-03-01')) v(r)""")
 def invalid_range_matches_nothing(spark, d):
-    state = filters.FilterState(ranges={"period": None, "updated": "2024-02-01..2024-01-01"})
-    return filters.apply_filters(_t(spark, d, "part"), state, {"updated": F.lit("2024-01-15")}).select("p_partkey")
+    """A range that is none is a condition nothing meets, whatever the table holds."""
+    events = _events(spark, d)
+    found = []
+    for r in ("2024-01-10..2024-01-20", "2024-01-20..2024-01-10", "2024-01-10", "2024-02-30..2024-03-01"):
+        state = filters.FilterState(ranges={"period": None, "updated": r})
+        meets = filters.dimension("updated", state, {"updated": F.col("day").cast("string")})
+        found.append(F.struct(F.lit(r).alias("range"), F.count_if(meets).alias("matches")))
+    return events.agg(F.array(*found).alias("x")).select(F.inline("x"))
 
 
 @query("""select * from (values ('brand', 'Brand#11'), ('brand', 'Brand#99'), ('brand', 'none')) c(dimension, value) where value not in (select p_brand from part)""")
@@ -459,9 +467,8 @@ def stored_order(spark, d):
 
 @query("""with p as (select page_id, unnest(string_split(split_part(split_part(url, '#', 1), '?', 2), '&')) as kv from pages where contains(url, '?')) select split_part(kv, '=', 1) as param, count(*) as count from p where kv <> '' group by 1""")
 def url_params(spark, d):
-    q = F.split(F.substring_index(F.substring_index("url", "#", 1), "?", -1), "&")
-    pairs = _t(spark, d, "pages").where(F.col("url").contains("?")).select(F.explode(q).alias("kv")).where("kv <> ''")
-    return pairs.groupBy(F.substring_index("kv", "=", 1).alias("param")).agg(F.count(F.lit(1)).alias("count"))
+    found = _t(spark, d, "pages").select(F.explode(urlstate.parameters(F.col("url"))).alias("x"))
+    return found.groupBy(F.col("x.name").alias("param")).agg(F.count(F.lit(1)).alias("count"))
 
 
 @query(f"select doc_id from documents where contains({FOLD.format('text')}, 'strasse') or contains({FOLD.format('text')}, 'ss')")

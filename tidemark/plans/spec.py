@@ -8,8 +8,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 #: Highest integer that readers in double precision keep exactly.
 MAX_INT = 2**53 - 1
-#: Closed number buckets: label, low, high (None: open).
+#: Closed number buckets (label, low, high; None: open).
 ENROLL_BUCKETS = (("0", 0, 0), ("1-10", 1, 10), ("11-30", 11, 30), ("31-100", 31, 100), ("101+", 101, None))
+#: Marks of what has no value.
 UNPROVIDED, CONFLICTED = "__unprovided__", "__conflicted__"
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from urllib.parse import parse_qsl, quote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.filters import CHOICES, RANGES, FilterState, parse_range
 from ..operators.identity import lookup
@@ -61,6 +62,16 @@ def parse_url(search: str) -> tuple[QueryState, list[tuple[str, str]]]:
     return state, errors
 
 
+def parameters(address: Column) -> Column:
+    """array<struct<name, value>> of the parameters of addresses in a column, decoded, in order; parse_url() for a table of them.
+
+    Empty parts go, a part without = has an empty value, and what cannot be decoded stays as it is.
+    """
+    parts = F.filter(F.split(F.regexp_extract(address, r"\?([^#]*)", 1), "&"), lambda x: x != "")
+    plain = lambda c: F.coalesce(F.try_url_decode(c), c)
+    return F.transform(parts, lambda x: F.struct(plain(F.substring_index(x, "=", 1)).alias("name"), plain(F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise("")).alias("value")))
+
+
 def resolve_protocol(state: QueryState, trials: DataFrame) -> tuple[QueryState, list[tuple[str, str]]]:
     """An address that names an identifier -> the state that names its entity instead, or what is wrong (rejected, notFound) with it.
 

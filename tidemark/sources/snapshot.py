@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import SnapshotError
 from ..plans.spec import SnapshotSpec
+from ..staging import Staging, lasting
 
 
 @dataclass(frozen=True)
@@ -21,21 +22,44 @@ class Response:
     body: bytes
 
 
+def _opener(read: float):
+    """An opener whose connections wait ``read`` seconds for data once they stand; what open() is given bounds connecting."""
+    import http.client
+    import urllib.request
+
+    def timed(kind):
+        class Timed(kind):
+            def connect(self):
+                super().connect()
+                self.sock.settimeout(read)
+
+        return Timed
+
+    class Http(urllib.request.HTTPHandler):
+        def http_open(self, req):
+            return self.do_open(timed(http.client.HTTPConnection), req)
+
+    class Https(urllib.request.HTTPSHandler):
+        def https_open(self, req):
+            return self.do_open(timed(http.client.HTTPSConnection), req, context=self._context)
+
+    return urllib.request.build_opener(Http, Https)
+
+
 def fetch(url: str, connect: float = 10, read: float = 120) -> Response:
-    """One GET by the driver; the landed bytes go through read_snapshot."""
-    import socket
+    """One GET by the driver, with a bound for connecting and one for waiting; the landed bytes go through read_snapshot."""
+    import http.client
     import urllib.error
-    import urllib.request
 
     try:
-        with urllib.request.urlopen(url, timeout=max(connect, read)) as r:
+        with _opener(read).open(url, timeout=connect) as r:
             size = r.headers.get("Content-Length")
             return Response(r.status, r.headers.get("Content-Type", ""), int(size) if size else None, r.read())
     except urllib.error.HTTPError as e:
         return Response(e.code, e.headers.get("Content-Type", ""), None, b"")
-    except (TimeoutError, socket.timeout) as e:
+    except TimeoutError as e:
         raise SnapshotError("HTTP_TIMEOUT", str(e)) from e
-    except OSError as e:
+    except (OSError, http.client.HTTPException) as e:
         timed_out = isinstance(getattr(e, "reason", None), TimeoutError)
         raise SnapshotError("HTTP_TIMEOUT" if timed_out else "HTTP_TRUNCATED", str(e)) from e
 
@@ -96,12 +120,24 @@ def parse_csv(text: str, spec: SnapshotSpec) -> list[tuple[str, ...]]:
     return rows
 
 
-def read_snapshot(spark: SparkSession, body: bytes, spec: SnapshotSpec, zipped: bool = True, partitions: int | None = None) -> DataFrame:
-    """One snapshot file -> raw rows.  A file of this form is read by one reader, as its quoting needs; what follows is distributed."""
-    rows = parse_csv(decode(extract_csv(body) if zipped else body), spec)
-    if not rows:
-        raise SnapshotError("ZERO_ROWS")
-    df = spark.createDataFrame(rows, spec.schema)
+#: Bytes that go to a shared file at a time.
+PIECE = 1 << 23
+
+
+def read_snapshot(spark: SparkSession, body: bytes, spec: SnapshotSpec, zipped: bool = True, partitions: int | None = None, run: Staging | None = None) -> DataFrame:
+    """One landed snapshot -> raw rows.  The driver inflates it into a shared file; decoding and parsing are tasks' work."""
+    from .strict_csv import read_csv_strict
+
+    raw = extract_csv(body) if zipped else body
+    own = run or lasting(spark)
+    where = spark._jvm.org.apache.hadoop.fs.Path(own.path("snapshot") + ".csv")
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, False)
+    try:
+        for at in range(0, len(raw), PIECE):
+            stream.write(bytearray(raw[at : at + PIECE]))
+    finally:
+        stream.close()
+    df = read_csv_strict(spark, where.toString(), spec, own)
     return df.repartition(partitions) if partitions else df
 
 
