@@ -46,6 +46,41 @@ def test_search_of_records_is_the_same_everywhere(spark, tmp_path):
         assert sorted(map(tuple, trigrams.search_index(spark, index, terms).collect())) == want
 
 
+def test_postings_are_rows_by_piece_not_by_record(spark, tmp_path):
+    rows = [(k, f"the same words in every text and the number {k}") for k in range(2000)]
+    index = trigrams.build_index(spark.createDataFrame(rows, "id long, text string").coalesce(1), "id", ("text",), str(tmp_path))
+    postings = spark.read.parquet(f"{index.root}/postings")
+    pairs_ = sum(len(trigrams.grams_of(t)) for _, t in rows)
+    assert postings.count() * 20 < pairs_
+    assert postings.agg(F.sum(F.size("keys")), F.sum("records")).first() == (pairs_, pairs_)
+    plan = trigrams.candidates(spark, index, ["the"])._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(gram,the)" in plan or "In(gram" in plan  # the scan gets the trigram
+
+
+def test_repeated_and_null_keys_are_found(spark, tmp_path, monkeypatch):
+    rows = [(1, "needle here"), (1, "another needle"), (2, "hay"), (None, "needle without a key"), (None, "hay")] + [(k, "hay") for k in range(10, 30)]
+    index = trigrams.build_index(spark.createDataFrame(rows, "id long, text string"), "id", ("text",), str(tmp_path))
+    for named in (trigrams.NAMED, 1):
+        monkeypatch.setattr(trigrams, "NAMED", named)
+        found = [tuple(r) for r in trigrams.find(spark, index, ["needle"]).collect()]
+        assert sorted(found, key=str) == sorted((r for r in rows if "needle" in r[1]), key=str)
+
+
+def test_texts_cut_into_pieces_lose_no_trigram(monkeypatch):
+    rng = random.Random(9)
+    columns = [["".join(rng.choice("ab\U0001f600字") for _ in range(rng.choice([0, 1, 2, 3, 50]))) or None for _ in range(60)] for _ in range(2)]
+    want = {(g, k) for c in columns for k, t in enumerate(c) for g in trigrams.grams_of(t or "")}
+    for size in (1, 2, 7, 40, 10**6):
+        monkeypatch.setattr(trigrams, "PIECE", size)
+        got = []
+        for of, texts in trigrams._pieces(columns):
+            grams, start, records = trigrams._turned(of, texts)
+            assert len(set(grams)) == len(grams)
+            got += [(g, k) for g, a, b in zip(grams, start[:-1], start[1:], strict=True) for k in set(records[a:b].tolist())]
+            assert len(records) == sum(len(set(records[a:b].tolist())) for a, b in zip(start[:-1], start[1:], strict=True))
+        assert set(got) == want
+
+
 def pairs(spark, a, b):
     left = spark.createDataFrame(a, "i long, lo long, hi long")
     right = spark.createDataFrame(b, "j long, low long, high long")
