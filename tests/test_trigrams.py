@@ -81,6 +81,13 @@ def test_texts_cut_into_pieces_lose_no_trigram(monkeypatch):
         assert set(got) == want
 
 
+def test_a_short_term_stores_nothing(spark, monkeypatch):
+    from tidemark.plans import queries
+
+    monkeypatch.setattr(queries, "document_index", lambda *a: (_ for _ in ()).throw(AssertionError("an index was built")))
+    assert queries.nfkc_search(spark, "/root/testdata/sf0.001").count() > 0
+
+
 def pairs(spark, a, b):
     left = spark.createDataFrame(a, "i long, lo long, hi long")
     right = spark.createDataFrame(b, "j long, low long, high long")
