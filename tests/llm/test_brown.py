@@ -111,3 +111,39 @@ def test_neighbours_are_counted_whole(monkeypatch):
             for w, k, n in zip((word + brown._first(r)).tolist(), near.tolist(), count.tolist(), strict=True):
                 found[(k, w) if side == 0 else (w, k)] += n
     assert len(ranges) == len(set(ranges)) and after == want and before == want
+
+
+def test_rounds_read_due_words_and_count_what_moves(monkeypatch):
+    import pyarrow as pa
+
+    from tidemark.llm import brown
+
+    monkeypatch.setattr(brown, "RANGE", 40)
+    rng, n = np.random.default_rng(8), brown.CLASSES + brown.BANDS
+    size = brown.FIRST + 100
+    end = size - 1
+    texts = [np.append(rng.choice([1, 2, *range(brown.FIRST, size)], 60), end).astype(np.uint32).tobytes() for _ in range(80)]
+    parts = pa.Table.from_batches(list(brown._bigrams(size, end)([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["codes"])])))
+    table = pa.Table.from_batches(list(brown._phased(brown._merged(size)(parts.sort_by("range").to_batches()))))
+
+    def summed(f, columns):
+        out = np.zeros(n * n, np.int64)
+        for b in f(table.select(["range", *columns]).to_batches()):
+            out[b.column("at").to_numpy()] += b.column("n").to_numpy()
+        return out
+
+    every = brown._columns(1, range(brown.FINEST))
+    old = rng.integers(0, brown.CLASSES, size).astype(np.uint8)
+    pair = summed(brown._pairs(old, n), every)
+    assert pair.sum() == 61 * 80
+    for turn, steps in ((0, 2), (3, 4), (5, 16)):
+        due = brown._due(turn, steps)
+        columns = [c for side in (0, 1) for c in brown._columns(side, due)]
+        assert len(columns) * steps == 4 * brown.FINEST
+        moved = pa.Table.from_batches(list(brown._move(old, n, pair.reshape(n, n), turn, steps)(table.select(["range", *columns]).to_batches())))
+        words = moved.column("word").to_numpy()
+        assert words.size and ((words + turn) % steps == 0).all()
+        new = old.copy()
+        new[brown.FIRST + words] = moved.column("class").to_numpy()
+        change = summed(brown._changes(old, new, n, due), columns)
+        assert (pair + change == summed(brown._pairs(new, n), every)).all()

@@ -16,9 +16,11 @@ block and other distinct word, not one per token.  What is kept of a text
 afterwards is one 32-bit code a token.
 
 What stands beside each word is counted once, as distinct neighbours with their
-counts by ranges of words; rounds of exchange read that table and shuffle
-nothing but class counts.  A round moves a part of the words: those of a range
-one after another, ranges at the same time.  A round that lowers the likelihood
+counts by ranges of words, in columns by phase, the number of a word modulo
+FINEST; rounds of exchange read the columns of the words that are due and
+shuffle nothing but class counts, and of those what the moved words change.  A
+round moves a part of the words: those of a range one after another, ranges at
+the same time.  A round that lowers the likelihood
 is taken back and the parts are halved.  The driver holds a count and a class
 for each word that moves.
 
@@ -223,6 +225,19 @@ def _first(r: int) -> int:
     return FIRST + (r if r < 0 else r * RANGE)
 
 
+def _columns(side: int, phases) -> list[str]:
+    """Columns of a side: how many entries each phase has, and the entries."""
+    return [c for k in phases for c in (f"size_{side}_{k}", f"side_{side}_{k}")]
+
+
+def _side(batch: pa.RecordBatch, i: int, side: int, phases) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word, neighbour, count) of one range, by phase."""
+    for k in phases:
+        size = batch.column(f"size_{side}_{k}")[i].as_py()
+        if size:
+            yield _entries(size, batch.column(f"side_{side}_{k}")[i])
+
+
 def _merged(size: int):
     """Counts of neighbours in order of range -> one row a range; what is held at a time is about the distinct neighbours of one range."""
 
@@ -259,16 +274,30 @@ def _merged(size: int):
     return f
 
 
+def _phased(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a range -> the same with columns by phase."""
+    for batch in batches:
+        for i, r in enumerate(batch.column("range").to_pylist()):
+            out = [pa.array([r], pa.int32())]
+            for side in ("0", "1"):
+                word, near, count = _entries(batch.column("size_" + side)[i].as_py(), batch.column("side_" + side)[i])
+                phase = (max(r, 0) * RANGE + word) % FINEST
+                for k in range(FINEST):
+                    at = np.flatnonzero(phase == k)
+                    out += [pa.array([at.size], pa.int64()), pa.array([_packed(word[at], near[at], count[at]) if at.size else None], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["range", *_columns(0, range(FINEST)), *_columns(1, range(FINEST))])
+
+
 def _pairs(classes: np.ndarray, n: int):
     """Bigram counts of classes with classes."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = np.zeros(n * n)
         for batch in batches:
-            for r, size, packed in zip(batch.column("range").to_pylist(), batch.column("size_1").to_pylist(), batch.column("side_1"), strict=True):
-                word, near, count = _entries(size, packed)
-                key = classes[_first(r) :][word].astype(np.int32) * n + classes[near]
-                pair += np.bincount(key, weights=count, minlength=n * n)
+            for i, r in enumerate(batch.column("range").to_pylist()):
+                for word, near, count in _side(batch, i, 1, range(FINEST)):
+                    key = classes[_first(r) :][word].astype(np.int32) * n + classes[near]
+                    pair += np.bincount(key, weights=count, minlength=n * n)
         pair = pair.astype(np.int64)
         at = np.flatnonzero(pair)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(pair[at])], ["at", "n"])
@@ -276,8 +305,43 @@ def _pairs(classes: np.ndarray, n: int):
     return f
 
 
+def _changes(old: np.ndarray, new: np.ndarray, n: int, phases: list[int]):
+    """What moved words change in the bigram counts of classes, from the columns of their phases alone."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = np.zeros(n * n)
+
+        def add(sign: int, first: np.ndarray, second: np.ndarray, count: np.ndarray) -> None:
+            nonlocal change
+            change += sign * np.bincount(first.astype(np.int32) * n + second, weights=count, minlength=n * n)
+
+        for batch in batches:
+            for i, r in enumerate(batch.column("range").to_pylist()):
+                was, now = (x[_first(r) : _first(r + 1)] for x in (old, new))
+                moves = was != now
+                if r < 0 or not moves.any():
+                    continue
+                for side in (0, 1):
+                    for word, near, count in _side(batch, i, side, phases):
+                        # Pairs of two moved words are counted where the second one stands.
+                        at = np.flatnonzero(moves[word] if side == 0 else moves[word] & (old[near] == new[near]))
+                        word, near, count = word[at], near[at], count[at]
+                        for sign, own, all_ in ((-1, was, old), (1, now, new)):
+                            add(sign, *((all_[near], own[word]) if side == 0 else (own[word], all_[near])), count)
+        change = change.astype(np.int64)
+        at = np.flatnonzero(change)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(change[at])], ["at", "n"])
+
+    return f
+
+
+def _due(turn: int, parts: int) -> list[int]:
+    """Phases of the words that are due; parts divide FINEST."""
+    return [k for k in range(FINEST) if (k + turn) % parts == 0]
+
+
 def _move(classes: np.ndarray, n: int, pair: np.ndarray, turn: int, parts: int):
-    """Ranges of words with their neighbours -> the words of this turn's part that move, and where."""
+    """Ranges of words with the neighbours of those that are due -> the words of this turn's part that move, and where."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,16 +349,18 @@ def _move(classes: np.ndarray, n: int, pair: np.ndarray, turn: int, parts: int):
                 if r < 0:
                     continue  # rare words stay in the classes of their bands
                 own = classes[_first(r) : _first(r + 1)].astype(np.int64)
+                due = np.arange(-(r * RANGE + turn) % parts, own.size, parts)
                 sides = []
-                for side in ("0", "1"):
-                    word, near, count = _entries(batch.column("size_" + side)[i].as_py(), batch.column("side_" + side)[i])
-                    sides.append(np.bincount(word * n + classes[near], weights=count, minlength=n * own.size).reshape(own.size, n))
-                    del word, near, count
-                due = (r * RANGE + np.arange(own.size) + turn) % parts == 0
-                used = np.where(due, sides[0].sum(axis=1), 0)
+                for side in (0, 1):
+                    counts = np.zeros(n * due.size)
+                    for word, near, count in _side(batch, i, side, _due(turn, parts)):
+                        counts += np.bincount((word - due[0]) // parts * n + classes[near], weights=count, minlength=n * due.size)
+                    sides.append(counts.reshape(due.size, n))
+                own = own[due]
+                used = sides[0].sum(axis=1)
                 new = exchange(*sides, pair, own, used, CLASSES, used > 0)
                 moved = np.flatnonzero(new != own)
-                yield pa.RecordBatch.from_arrays([pa.array(moved + r * RANGE, pa.int64()), pa.array(new[moved], pa.int32())], ["word", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(due[moved] + r * RANGE, pa.int64()), pa.array(new[moved], pa.int32())], ["word", "class"])
 
     return f
 
@@ -330,21 +396,27 @@ def exchange(left: np.ndarray, right: np.ndarray, pair: np.ndarray, classes: np.
         first[row, k] = np.inf
         near = np.argpartition(-first, min(NEAREST, targets - 1), axis=1)[:, : NEAREST + 1] if targets > NEAREST + 1 else np.tile(np.arange(targets), (w.size, 1))
         own = near == k[:, None]
+        mine = own.argmax(axis=1)
         rest = np.maximum(marginal[near] - np.where(own, m[:, None], 0), 0)
         gain = -2 * (xlx(rest + m[:, None]) - xlx(rest))
+        table = xlx(pair)
         for x, other, before in ((a, b, True), (b, a, False)):
             r, i = np.nonzero(x)  # other classes add nothing
             if not r.size:
                 continue
-            v, to = x[r, i][:, None], near[r]
-            held = pair[i[:, None], to] if before else pair[to, i[:, None]]
+            v, to = x[r, i], near[r]
+            place = i[:, None] * n + to if before else to * n + i[:, None]
+            held, less = pair.ravel().take(place), table.take(place)
             # Counts of the other words only: without the word itself in the column and the row of its class.
-            held -= np.where(own[r], v, 0)
+            every_row, in_own = np.arange(r.size), mine[r]
+            held[every_row, in_own] -= v
             loop = np.flatnonzero(i == k[r])
             held[loop] -= other[r[loop, None], to[loop]]
-            np.maximum(held, 0, out=held)
+            for touched in ((every_row, in_own), (loop,)):
+                held[touched] = np.maximum(held[touched], 0)
+                less[touched] = xlx(held[touched])
             start = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-            gain[r[start]] += np.add.reduceat(xlx(held + v) - xlx(held), start)
+            gain[r[start]] += np.add.reduceat(xlx(held + v[:, None]) - less, start)
         stay = gain[own]
         best = gain.argmax(axis=1)
         moves = np.flatnonzero(gain[row, best] > stay + 1e-9)
@@ -428,25 +500,29 @@ def score_documents(docs: DataFrame, held_out: F.Column) -> DataFrame:
     size, ranges = FIRST + movable, -(-movable // RANGE)
     near = encoded.where(~F.col("held_out")).select("codes").mapInArrow(trimmed(_bigrams(size, int(end_code))), "range int, side int, size long, packed binary")
     near = near.repartition(ranges + int(LEAST).bit_length(), "range").sortWithinPartitions("range")
-    near = staged(near.mapInArrow(trimmed(_merged(size)), "range int, size_0 long, side_0 binary, size_1 long, side_1 binary"), "neighbours")
+    kinds = [f"{c} {'long' if c.startswith('size') else 'binary'}" for side in (0, 1) for c in _columns(side, range(FINEST))]
+    near = staged(near.mapInArrow(trimmed(lambda batches: _phased(_merged(size)(batches))), ", ".join(["range int", *kinds])), "neighbours")
 
-    def pairs(c):
-        rows = near.select("range", "size_1", "side_1").mapInArrow(trimmed(_pairs(c, n)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    def summed(f, columns):
+        rows = near.select("range", *columns).mapInArrow(trimmed(f), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
         out = np.zeros(n * n, np.int64)
         out[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
         return out.reshape(n, n)
 
+    def due_columns(turn, parts):
+        return [c for side in (0, 1) for c in _columns(side, _due(turn, parts))]
+
     def moved(c, pair, turn, parts):
-        rows = near.mapInArrow(trimmed(_move(c, n, pair, turn, parts)), "word long, class int").toArrow()
+        rows = near.select("range", *due_columns(turn, parts)).mapInArrow(trimmed(_move(c, n, pair, turn, parts)), "word long, class int").toArrow()
         c = c.copy()
         c[FIRST + rows.column("word").to_numpy()] = rows.column("class").to_numpy()
         return c
 
-    pair = pairs(classes)
+    pair = summed(_pairs(classes, n), _columns(1, range(FINEST)))
     best, turn, still, parts = likelihood(pair), 0, 0, 2
     while movable and still < parts and parts <= FINEST:
         new = moved(classes, pair, turn, parts)
-        new_pair = pairs(new)
+        new_pair = pair + summed(_changes(classes, new, n, _due(turn, parts)), due_columns(turn, parts))
         now = likelihood(new_pair)
         turn += 1
         if now < best:
