@@ -18,10 +18,18 @@ PASSAGE = 50
 #: How often the scarcest source may be used for each use of the most plentiful.
 REPEATS = 1.5
 BROADCAST_IDS = 500_000
+#: Bytes of rows that Spark hands to a Python worker at a time.  Its own bound is 10,000 rows, of whatever length, and the buffers on both sides grow by doubling.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """From now on batches are bounded by bytes; stages are read lazily, so the session keeps the setting."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text or no letter) go; a missing lang is filled with the predicted one."""
+    bounded(spark)
     found = predict_language(docs, docs.where(~held_out()).select("doc_id", "text", "lang"))
     found = found.where(F.col("lang_pred") != UNKNOWN)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
@@ -32,6 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of several rows with that doc_id one stays, the first by text, lang, source and n_chars; rows without a doc_id all stay.
     """
+    bounded(spark)
     marks = near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
     gone = staged(marks.where(~F.col("kept")).select("doc_id").distinct(), "gone")
     kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
@@ -47,6 +56,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document has go; a document that loses all its words goes."""
+    bounded(spark)
     cut = remove_repeats(docs, length=PASSAGE)
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
@@ -57,11 +67,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once, and sources below their target weight partly again."""
+    bounded(spark)
     return mix_sources(docs, repeats=REPEATS).select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they give the text back."""
+    bounded(spark)
     out = encode_and_check(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
     return out.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
 

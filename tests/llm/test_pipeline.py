@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from brute import near_duplicates, remove_repeats
 
@@ -66,3 +67,21 @@ def test_last_stage_decodes_every_row(spark, library):
     for i, t in enumerate(texts):
         assert got[i].round_trip == (t is None or library.decode(library.encode(t)) == t)
     assert got[0].round_trip
+
+
+def test_batches_of_stages_are_bounded_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id as doc_id", "repeat('ab cd ', 500) as text", "'xx' as lang", "'src0' as source", "3000L as n_chars")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    try:
+        for _, stage in p.STAGES[2:4]:
+            spark.conf.unset(key)
+            stage(spark, docs.limit(5), "")
+            assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 1.1 * p.BATCH_BYTES
+    finally:
+        spark.conf.set(key, before)

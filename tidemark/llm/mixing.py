@@ -141,7 +141,10 @@ def mix_sources(docs: DataFrame, repeats: float = 1.5, entropy_share: float | No
     whole = {k: math.floor(e + 1e-9) for k, e in epochs.items()}
     left = {k: int(round((epochs[k] - whole[k]) * tokens[k])) if tokens[k] else 0 for k in tokens}
     blocks = {k: max(1, v // BLOCK_TOKENS) for k, v in tokens.items()}
-    plan = spark.createDataFrame([(k, whole[k], max(0, left[k]), blocks[k], float(epochs[k])) for k in tokens], "s string, whole int, left long, blocks long, epochs double")
+    kinds = pa.schema([("s", pa.string()), ("whole", pa.int32()), ("left", pa.int64()), ("blocks", pa.int64()), ("epochs", pa.float64())])
+    columns = [list(tokens), [whole[k] for k in tokens], [max(0, left[k]) for k in tokens], [blocks[k] for k in tokens], [float(epochs[k]) for k in tokens]]
+    # As an Arrow table: rows would go through Python workers of their own, which stay in the executors' memory for a while.
+    plan = spark.createDataFrame(pa.table(columns, schema=kinds))
     plan = F.broadcast(plan) if len(tokens) <= BROADCAST_SOURCES else plan
 
     # Blocks in hash order are the permutation; their running sums find the block where a source's budget ends.
