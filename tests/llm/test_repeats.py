@@ -1,10 +1,11 @@
 import random
+import re
 
 import numpy as np
 from brute import remove_repeats as brute
 
 from tidemark.llm.fm_index import FMIndex
-from tidemark.llm.repeats import remove_repeats
+from tidemark.llm.repeats import remove_repeats, segments
 
 
 def run(spark, rows, length):
@@ -100,3 +101,39 @@ def test_query_against_brute_force(spark):
     want = brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()], 13)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op10_repeats(spark, d).collect()}
     assert got == {i: (n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, (n, gone, kept) in want.items()}
+
+
+def test_segments_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(8)
+    sizes = [0, 40, 3, 13, 0, 90, 12, 14]
+    texts = [rng.integers(1, 4, n).astype(np.uint64) for n in sizes]  # few words, so that hashes are equal in a window
+    cut = np.cumsum([0, *sizes])
+    for length, run in ((13, 8), (5, 1), (12, 12)):
+        of, start, count, anchor = segments(np.concatenate(texts), cut, length, run)
+        found = []
+        for k, words in enumerate(texts):
+            one = segments(words, np.array([0, words.size]), length, run)
+            assert int(one[2].sum()) == max(0, words.size - length + 1)
+            found += [(k, int(a + cut[k]), int(n), int(h)) for a, n, h in zip(*one[1:], strict=True)]
+        assert list(zip(of.tolist(), start.tolist(), count.tolist(), anchor.tolist(), strict=True)) == found
+
+
+def test_all_white_bytes_part_words_and_repeated_ids(spark):
+    rng = random.Random(4)
+    passage = [f"w{i}" for i in range(9)]
+    rows = [(i // 2, rng.choice("\n ").join(["", *(x + rng.choice([" ", "\t", "  ", "\x0b\r\n"]) for x in (passage if i % 3 else passage[::-1])), rng.choice(["", "é\u00a0z"])])) for i in range(24)]
+    rows += [(99, None), (100, ""), (101, " \n"), (102, "one"), (None, " ".join(passage))]
+    out = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "", r.n_words, r.n_removed, r.kept_text) for r in out.collect()))
+    starts = {}
+    split = lambda t: [x for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x]
+    for d, t in rows:
+        for i in range(len(split(t)) - 3 if d is not None else 0):
+            w = tuple(split(t)[i : i + 4])
+            starts[w] = min(starts.get(w, d), d)
+    want = []
+    for d, t in rows:
+        w = split(t)
+        gone = {j for i in range(len(w) - 3) if d is not None and starts[tuple(w[i : i + 4])] < d for j in range(i, i + 4)}
+        want.append((d is None, d or 0, t or "", len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    assert got == sorted(want)
