@@ -147,3 +147,21 @@ def test_rounds_read_due_words_and_count_what_moves(monkeypatch):
         new[brown.FIRST + words] = moved.column("class").to_numpy()
         change = summed(brown._changes(old, new, n, due), columns)
         assert (pair + change == summed(brown._pairs(new, n), every)).all()
+
+
+def test_each_block_asks_once_for_a_word():
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm import brown
+
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 1, 3, 1, 2]), pa.array(["a b a", "b", "B c", "", " "])], ["block", "text"])
+    ask = brown._distinct(SimpleNamespace(value=[np.zeros(0, np.int64)]))
+    (out,) = ask(iter([batch]))
+    assert out.column("block").to_pylist() == [1, 3, 3, 3]
+    words = out.column("word").to_pylist()
+    assert words[1:] == sorted(set(words)) and words[0] in words[1:]
+    (none,) = ask(iter([batch.slice(3)]))
+    assert none.num_rows == 0
