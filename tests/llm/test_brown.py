@@ -1,5 +1,6 @@
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 from brute import base_scores
@@ -165,3 +166,70 @@ def test_each_block_asks_once_for_a_word():
     assert words[1:] == sorted(set(words)) and words[0] in words[1:]
     (none,) = ask(iter([batch.slice(3)]))
     assert none.num_rows == 0
+
+
+def test_places_are_found_whatever_the_hashes():
+    from tidemark.llm.brown import _Places
+
+    rng, edges = np.random.default_rng(6), [0, -1, -(2**63), 2**63 - 1]
+    some = rng.integers(-(2**63), 2**63 - 1, 3000)
+    for words in ([], [5], edges, some, [*some, *range(500)]):
+        words = np.unique(np.array(words, np.int64))
+        asked = rng.permutation(np.concatenate((words, edges, range(-9, 600), rng.integers(-(2**63), 2**63 - 1, 3000))))
+        at, hit = _Places(words).find(asked)
+        assert (hit == np.isin(asked, words)).all() and (words[at[hit]] == asked[hit]).all()
+
+
+def test_texts_of_a_block_are_coded_and_scored_one_by_one(monkeypatch):
+    import pyarrow as pa
+
+    from tidemark.llm import brown
+    from tidemark.llm.words import tables
+
+    monkeypatch.setattr(brown, "STRETCH", 7)  # several groups of texts, and texts beyond one
+    texts = ["a b", "", "c c c a b zz a c b a", None, " ", "b", "zz"]
+    word = {t: int(w.view(np.int64)[0]) for t in "abc" for _, _, _, w in tables([t.encode()], True)}
+    common = SimpleNamespace(value=[np.array([word["a"]]), np.array([9]), np.array([41])])
+    known = pa.table({"word": [word["b"], word["c"]], "n": [3, 1], "code": [2, 1]})
+    docs = pa.table({"doc_id": pa.array(range(7), pa.int64()), "held_out": [False] * 7, "text": texts})
+    out = brown._encode(common, 20, 4, 7, 42)(docs, known)
+    cost, code = {"a": 10, "b": 4, "c": 2}, {"a": 41, "b": 2, "c": 1}
+    rng = np.random.default_rng(2)
+    classes, gain = rng.integers(0, 5, 43).astype(np.uint8), rng.normal(size=(5, 5))
+    batch = out.combine_chunks().to_batches()[0]
+    (scored,) = brown._score(classes, gain)([batch.slice(1)])
+    scores = [None, *scored.column("score").to_pylist()]
+    for i, row in enumerate(out.to_pylist()):
+        words = (texts[i] or "").split()
+        codes = [*(code.get(w, 0) for w in words), 42]
+        assert np.frombuffer(row["codes"], np.uint32).tolist() == codes
+        assert (row["n_tokens"], row["n_known"]) == (len(codes), sum(w in cost for w in words) + 1)
+        base = sum(np.log10(cost.get(w, 1)) for w in words) + np.log10(8) - len(codes) * np.log10(25)
+        assert abs(row["base_score"] - base) < 1e-9
+        if i:
+            assert abs(scores[i] - base - sum(gain[classes[a], classes[b]] for a, b in zip([42, *codes], codes, strict=False))) < 1e-9
+
+
+def test_ranges_share_files(spark, monkeypatch):
+    # Each round opens every file of neighbours.
+    import pytest
+
+    from tidemark.llm import brown
+
+    class Seen(Exception):
+        pass
+
+    files, staged = [], brown.staged
+
+    def watched(df, name):
+        out = staged(df, name)
+        if name == "neighbours":
+            files.append(len(out.inputFiles()))
+            raise Seen
+        return out
+
+    monkeypatch.setattr(brown, "staged", watched)
+    words = 8 * brown.RANGE
+    with pytest.raises(Seen):
+        run(spark, [(i, " ".join(f"w{(i * 331 + k) % words}" for k in range(1000))) for i in range(500)])
+    assert 0 < files[0] <= 2

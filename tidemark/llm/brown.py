@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import staged
-from .words import as_bytes, tables, trimmed
+from .words import as_bytes, groups, trimmed
 
 #: Occurrences from which exchange moves a word; rarer ones have too few contexts to tell classes apart.
 LEAST = 20
@@ -51,6 +51,8 @@ RISE = 1e-3
 FINEST = 16
 #: Words of one range.
 RANGE = 2048
+#: Ranges of one file, and partitions in which counts by pair of classes are summed.
+RANGES, SUMS = 8, 4
 #: Words that move at the same time within a range, the part of all tokens that they may be, and classes whose gain is computed in full besides a word's own.
 STEP, SHARE, NEAREST = 64, 1024, 7
 #: Bound of the most frequent words that every task knows (24 bytes each); blocks ask for their other words.
@@ -75,39 +77,58 @@ PARTS = 256
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts by word of each batch of training texts."""
     for batch in batches:
-        parts = [w for _, _, _, w in tables(as_bytes(batch.column("text")), True)]
-        words = np.concatenate([*parts, np.full(len(parts), END).view(np.uint64)]).view(np.int64)
+        parts = [w for *_, w in groups(as_bytes(batch.column("text")), True)]
+        words = np.concatenate([*parts, np.full(batch.num_rows, END).view(np.uint64)]).view(np.int64)
         word, n = np.unique(words, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
 
 
-def _found(sorted_words: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of each word, whether it is there)."""
-    if not sorted_words.size:
-        return np.zeros(words.size, np.int64), np.zeros(words.size, bool)
-    at = np.minimum(np.searchsorted(sorted_words, words), sorted_words.size - 1)
-    return at, sorted_words[at] == words
+class _Places:
+    """Sorted hashes, found by their first bits: those of a slot, about one in two, stand together."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words, self.shift = words, np.int64(63 - words.size.bit_length())
+        self.half = 1 << int(63 - self.shift)
+        held = np.bincount((words >> self.shift) + self.half, minlength=2 * self.half)
+        self.start = np.concatenate(([0], np.cumsum(held)))
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each word, whether it is there)."""
+        if not self.words.size:
+            return np.zeros(words.size, np.int64), np.zeros(words.size, bool)
+        slot = (words >> self.shift) + self.half
+        at = self.start[slot]
+        hit = self.words[np.minimum(at, self.words.size - 1)] == words
+        left = np.flatnonzero(~hit)
+        while left.size:
+            at[left] += 1
+            left = left[at[left] < self.start[slot[left] + 1]]
+            same = self.words[at[left]] == words[left]
+            hit[left[same]] = True
+            left = left[~same]
+        return at, hit
 
 
 def _distinct(common):
     """Words of each block that are not common, once a batch."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = common.value[0]
+        known = _Places(common.value[0])
         for batch in batches:
             block = batch.column("block").to_numpy()
             words, of = [], []
-            for k, _, _, w in tables(as_bytes(batch.column("text")), True):
-                words.append(w)
-                of.append(np.full(w.size, block[k]))
-            words, of = np.concatenate(words).view(np.int64), np.concatenate(of)
+            for k, _, cut, _, _, w in groups(as_bytes(batch.column("text")), True):
+                w = w.view(np.int64)
+                asks = np.flatnonzero(~known.find(w)[1])
+                words.append(w[asks])
+                of.append(np.repeat(block[k : k + cut.size - 1], np.diff(cut))[asks])
+            words, of = np.concatenate([*words, np.zeros(0, np.int64)]), np.concatenate([*of, np.zeros(0, block.dtype)])
             # A task has few blocks, and sorting numbers is faster than finding their order.
             parts = [(k, np.sort(words[of == k])) for k in np.unique(of)]
             parts = [(k, w[np.concatenate(([True], w[1:] != w[:-1]))]) for k, w in parts]
             words = np.concatenate([w for _, w in parts] or [words])
             of = np.repeat(np.array([k for k, _ in parts], block.dtype), [w.size for _, w in parts])
-            asks = ~_found(known, words)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(of[asks]), pa.array(words[asks])], ["block", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(words)], ["block", "word"])
 
     return f
 
@@ -119,25 +140,26 @@ def _encode(common, total: int, distinct: int, end_count: int, end_code: int):
     def f(docs: pa.Table, known: pa.Table) -> pa.Table:
         word, n, code = (np.concatenate((x, known.column(c).to_numpy())) for x, c in zip(common.value, ("word", "n", "code"), strict=True))
         order = np.argsort(word)
-        word, cost, code = word[order], np.log10(n[order] + 1.0), code[order].astype(np.uint32)
-        end_cost = np.log10(end_count + 1.0) - floor
+        cost, code, places = np.log10(n[order] + 1.0), code[order].astype(np.uint32), _Places(word[order])
+        end_cost = np.log10(end_count + 1.0)
         out = []
         for batch in docs.to_batches(max_chunksize=2000):
-            tokens, seen, base, codes = [], [], [], []
-            for _, _, _, w in tables(as_bytes(batch.column("text")), True):
-                w = w.view(np.int64)
-                at, hit = _found(word, w)
-                own = np.full(w.size + 1, UNSEEN, np.uint32)
-                own[:-1][hit] = code[at[hit]]
-                own[-1] = end_code
-                tokens.append(w.size + 1)
-                seen.append(int(np.count_nonzero(hit)) + (end_count > 0))
-                base.append(float(cost[at[hit]].sum() - w.size * floor + end_cost))
-                codes.append(own.tobytes())
-            out.append(pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(codes, pa.binary())],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "codes"],
-            ))
+            for k, _, cut, _, _, w in groups(as_bytes(batch.column("text")), True):
+                at, hit = places.find(w.view(np.int64))
+                at, texts = at[hit], cut.size - 1
+                # A text's words and then its end.
+                own, base, seen = np.full(w.size + texts, UNSEEN, np.uint32), np.zeros(w.size + texts), np.zeros(w.size + texts, np.int64)
+                first = cut[:-1] + np.arange(texts)
+                end = cut[1:] + np.arange(texts)
+                place = (np.arange(w.size) + np.repeat(np.arange(texts), np.diff(cut)))[hit]
+                own[place], base[place], seen[place] = code[at], cost[at], 1
+                own[end], base[end], seen[end] = end_code, end_cost, end_count > 0
+                tokens = end - first + 1
+                codes = pa.Array.from_buffers(pa.binary(), texts, [None, pa.py_buffer(np.append(4 * first, own.nbytes).astype(np.int32)), pa.py_buffer(own)])
+                out.append(pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(k, texts), batch.column("held_out").slice(k, texts), pa.array(tokens, pa.int64()), pa.array(np.add.reduceat(seen, first), pa.int64()), pa.array(np.add.reduceat(base, first) - tokens * floor, pa.float64()), codes],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "codes"],
+                ))
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "codes"]
         kinds = [docs.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
         return pa.Table.from_batches(out, pa.schema(list(zip(names, kinds, strict=True))))
@@ -433,14 +455,25 @@ def exchange(left: np.ndarray, right: np.ndarray, pair: np.ndarray, classes: np.
     return classes
 
 
+def _held(codes: pa.BinaryArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes of some texts, where each begins) for groups of consecutive texts."""
+    offset = np.frombuffer(codes.buffers()[1], np.int32 if codes.type == pa.binary() else np.int64)[codes.offset : codes.offset + len(codes) + 1] // 4
+    every, at = np.frombuffer(codes.buffers()[2] or b"", np.uint32, int(offset[-1]) if len(codes) else 0), 0
+    while at < len(codes):
+        end = max(at + 1, int(np.searchsorted(offset, offset[at] + STRETCH, "right")) - 1)
+        yield every[offset[at] : offset[end]], offset[at:end] - offset[at]
+        at = end
+
+
 def _score(classes: np.ndarray, gain: np.ndarray):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             more = []
-            for own in batch.column("codes").to_pylist():
-                c = classes[np.frombuffer(own, np.uint32)]
-                more.append(float(gain[np.concatenate((c[-1:], c[:-1])), c].sum()))
-            score = pa.compute.add(batch.column("base_score"), pa.array(more, pa.float64()))
+            for own, first in _held(batch.column("codes")):
+                c = classes[own].astype(np.int32)
+                # Each text ends with the end code, so the class before a first word is right also across texts.
+                more.append(np.add.reduceat(gain.take(np.concatenate((c[-1:], c[:-1])) * gain.shape[0] + c), first))
+            score = pa.compute.add(batch.column("base_score"), pa.array(np.concatenate([*more, np.zeros(0)]), pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "codes"), score], [*(c for c in batch.schema.names if c != "codes"), "score"])
 
     return f
@@ -499,12 +532,15 @@ def score_documents(docs: DataFrame, held_out: F.Column) -> DataFrame:
         classes[FIRST + order] = np.minimum(filled * CLASSES // (int(filled[-1]) + 1), CLASSES - 1)
     size, ranges = FIRST + movable, -(-movable // RANGE)
     near = encoded.where(~F.col("held_out")).select("codes").mapInArrow(trimmed(_bigrams(size, int(end_code))), "range int, side int, size long, packed binary")
-    near = near.repartition(ranges + int(LEAST).bit_length(), "range").sortWithinPartitions("range")
+    # Each file is opened in each round, so that a task writes some ranges in one.
+    near = near.repartition(-(-(ranges + int(LEAST).bit_length()) // RANGES), "range").sortWithinPartitions("range")
     kinds = [f"{c} {'long' if c.startswith('size') else 'binary'}" for side in (0, 1) for c in _columns(side, range(FINEST))]
     near = staged(near.mapInArrow(trimmed(lambda batches: _phased(_merged(size)(batches))), ", ".join(["range int", *kinds])), "neighbours")
 
     def summed(f, columns):
-        rows = near.select("range", *columns).mapInArrow(trimmed(f), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        rows = near.select("range", *columns).mapInArrow(trimmed(f), "at long, n long")
+        # A task has a row a pair of classes at most: a few partitions take them, where Spark's usual number is mostly files without rows.
+        rows = rows.repartition(SUMS, "at").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
         out = np.zeros(n * n, np.int64)
         out[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
         return out.reshape(n, n)
