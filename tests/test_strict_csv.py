@@ -126,6 +126,17 @@ def test_no_rows_and_no_bytes(spark, tmp_path):
     assert e.value.code.value == "SCHEMA_MISMATCH"
 
 
+def test_file_without_bytes_among_odd_names(spark, tmp_path):
+    for name in ("x y.csv", "50%.csv", "é.csv"):
+        (tmp_path / name).write_bytes(b"a,b,c\n1,2,3\n")
+    assert found(spark, str(tmp_path)) == ([(2, ["1", "2", "3"])] * 3, [])
+    (tmp_path / "no bytes.csv").write_bytes(b"")
+    (tmp_path / "line ends.csv").write_bytes(b"\n\r\n")
+    rows = strict_csv.parse_files(spark, [str(tmp_path / f.name) for f in tmp_path.iterdir()], SPEC.columns).collect()
+    assert sorted((r.file.rsplit("/", 1)[1], r.code) for r in rows if r.code) == [("line%20ends.csv", "SCHEMA_MISMATCH"), ("no%20bytes.csv", "SCHEMA_MISMATCH")]
+    assert sum(r.code is None for r in rows) == 3
+
+
 def test_one_large_file_is_many_tasks(spark, small_splits, tmp_path):
     small_splits(200_000)
     rows = [(str(k), f'said "{k}"\nand more', "x" * (k % 50)) for k in range(40_000)]

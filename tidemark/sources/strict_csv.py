@@ -278,9 +278,10 @@ def parse_files(spark: SparkSession, path: str | list[str], columns: tuple[str,
     pieces = found.where("key is not null").repartition("file", "key").sortWithinPartitions("file", "key", "at")
     keep = ("file", "line", "code", "detail", "values")
     out = found.where("key is null").select(*keep).unionByName(pieces.mapInArrow(_joined(tuple(columns)), PARSED).select(*keep))
-    have = {file for (file, _), s in splits.items() if s.text is not None}
-    listed = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
-    empty = [f for f in listed if f not in have and f.replace("file:/", "file:///", 1) not in have]
+    # Scans leave out files without bytes, so no frame has their names; the listing does, written as in file_path but for local files.
+    have = {file.replace("file:///", "file:/", 1) for (file, _), s in splits.items() if s.text is not None}
+    listed = [f.replace("file:///", "file:/", 1) for f in lines.inputFiles()]
+    empty = [f for f in listed if f not in have]
     if empty:
         out = out.unionByName(spark.createDataFrame([(f, 1, "SCHEMA_MISMATCH", "no header", None) for f in empty], "file string, line long, code string, detail string, values array<string>"))
     return out
